@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, language, pieces, quality, token_counts
+from tidemark.llm import chat, decontaminate, language, licences, pieces, quality, token_counts, warc
 from tidemark.runtime import table
 
 
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -38,11 +50,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_chat": op7_chat,
+    "op8_licences": op8_licences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
 
 #: DuckDB equivalents, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": warc.ORACLE_SQL,
+    "op7_chat": chat.ORACLE_SQL,
+    "op8_licences": licences.oracle_sql(),
+}
