@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, language, licences, pieces, quality, token_counts, warc
+from tidemark.llm import chat, decontaminate, language, licences, line_dedup, ngram_jaccard, pieces, quality, token_counts, warc
 from tidemark.runtime import table
 
 
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
@@ -50,6 +58,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_line_dedup": op3_line_dedup,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
@@ -61,6 +71,7 @@ QUERIES = {
 
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
     "op8_licences": licences.oracle_sql(),
