@@ -1,8 +1,68 @@
-"""The corpus pipeline (stages follow as their operators are written)."""
+"""The corpus pipeline: language, boilerplate lines, near duplicates, benchmark leaks, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but
+the last return the columns of documents. run() writes each stage's rows to the shared folder and
+reads them again for the next.
+
+Not every stage can be said in SQL (learned classifiers, sentencepiece), so ORACLE_SQL is None; the
+tests hold the rows against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, language, line_dedup, ngram_jaccard, pieces
+from tidemark.llm.catalog import tokenizer_path
+from tidemark.runtime import settle, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; undetermined and ambiguous ones go."""
+    return language.keep_identified(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without boilerplate lines but for their first place; documents left without any line go."""
+    out = line_dedup.dedup_lines(docs)
+    out = out.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^ \t\r\n]")))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id. Shingles of
+    five words, similarity of 0.8 or more."""
+    groups = ngram_jaccard.near_duplicate_components(docs, n=5, num=80, den=100)
+    return docs.join(groups.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text, and the text that they decode to."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language identification", language_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = settle(docs, name.replace(" ", "-"))
+    return docs

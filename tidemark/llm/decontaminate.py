@@ -121,16 +121,16 @@ def build(items: list[tuple[str, str]], window: int) -> list[Tables]:
     return [Tables(m, w) for m, w in sorted(by_length.items())]
 
 
-def search_block(docs: DataFrame, items: list[tuple[str, str]], window: int, last: bool) -> DataFrame:
-    """One pass over doc_id, text, hits and items; adds what this block of items hits. The last
-    pass leaves the text out."""
+def search_block(docs: DataFrame, items: list[tuple[str, str]], window: int, text_col: str) -> DataFrame:
+    """docs with what this block of items hits added to its columns hits and items; n_words is set."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    names = docs.columns
 
     def begin() -> list[Tables]:
         return build(sent.value, window)
 
     def one(batch: pa.RecordBatch, built: list[Tables]) -> pa.RecordBatch:
-        texts = TextBytes(batch.column(1), lower=True)
+        texts = TextBytes(batch.column(text_col), lower=True)
         starts, ends, doc = texts.words(ALNUM_WORDS)
         h = texts.hashes(starts, ends)
         first_word = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -141,35 +141,39 @@ def search_block(docs: DataFrame, items: list[tuple[str, str]], window: int, las
                 d = int(doc[i])
                 spans[d].append((i - first_word[d], i - first_word[d] + t.m))
                 owners[d] |= t.owners[k]
-        hits, held = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        hits, held = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
         for d, found in spans.items():
             at = np.array(found)
             more = np.flatnonzero(covered(int(first_word[d + 1] - first_word[d]), at[:, 0], at[:, 1])).tolist()
             hits[d], held[d] = sorted({*hits[d], *more}), sorted({*held[d], *owners[d]})
-        arrays = [batch.column(0), *([] if last else [batch.column(1)]), pa.array(hits, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.string())), *([pa.array(np.diff(first_word).astype(np.int64))] if last else [])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", *([] if last else ["text"]), "hits", "items", *(["n_words"] if last else [])])
+        new = {"hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(held, pa.list_(pa.string())), "n_words": pa.array(np.diff(first_word).astype(np.int64))}
+        return pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    schema = "doc_id long, hits array<int>, items array<string>, n_words long" if last else "doc_id long, text string, hits array<int>, items array<string>"
-    return map_chunks(docs, one, schema, begin=begin)
+    return map_chunks(docs, one, docs.schema, text=text_col, begin=begin)
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, hits (numbers of the words inside occurrences, ascending), items (ids of the items
-    with occurring windows, sorted as strings) and n_words of every document."""
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """documents with hits (numbers of the words inside occurrences, ascending), items (ids of the
+    items with occurring windows, sorted as strings) and n_words."""
     ship(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // block_bytes) or 1
-    out = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].alias("text"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    out = documents.withColumns({"hits": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        out = search_block(out, [tuple(r) for r in part.toLocalIterator()], window, k == n_blocks - 1)
+        out = search_block(out, [tuple(r) for r in part.toLocalIterator()], window, text_col)
     return out
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with their own columns."""
+    return benchmark_hits(documents, benchmark, window).filter(F.size("hits") == 0).select(*documents.columns)
+
+
 def decontamination_report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """benchmark_hits as counts and a digest."""
-    found = benchmark_hits(documents, benchmark, window)
+    found = benchmark_hits(documents.select("doc_id", "text"), benchmark, window)
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),

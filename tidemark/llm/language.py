@@ -176,3 +176,24 @@ def identify(df: DataFrame, model: Model | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return map_chunks(df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text"), one, SCHEMA)
+
+
+def keep_identified(df: DataFrame, model: Model | None = None, least_score: float = 0.5) -> DataFrame:
+    """The rows of df(doc_id, text, lang, ...) whose language is clear: not und, not ambiguous and
+    with at least this score; their columns stay as they are."""
+    spark = df.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(learn(df) if model is None else model)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m, text = sent.value, batch.column("text")
+        clear = np.array([has_letter(x) for x in text.to_pylist()], bool)
+        at = np.flatnonzero(clear)
+        if not m.langs:
+            clear[:] = False
+        elif len(at):
+            _, score, unclear = m.decode(ngram_counts(TextBytes(text.take(pa.array(at)), lower=True)))
+            clear[at] = (score >= least_score) & ~unclear
+        return batch.filter(pa.array(clear))
+
+    return map_chunks(df, one, df.schema)
