@@ -9,7 +9,7 @@ with anyone reach the threshold alone; most documents end here.
 For the others, rarest n-grams first, a prefix must hold an n-gram in common with any partner. The
 documents that meet in a prefix n-gram are compared in two rounds: first each with the one among
 them that shares most of its n-grams, then those that the first round hasn't put together, as far as
-sizes and shared counts allow a link. Comparison counts the overlap of each fragment separately and
+sizes, shared counts and bitmaps allow a link. Comparison counts the overlap of each fragment separately and
 sums per pair. Pairs inside a component aren't compared again, so a large group of near copies isn't
 expanded into its pairs, but every link between components is found.
 
@@ -41,7 +41,11 @@ U64 = np.uint64
 SEGMENTS = "place int, members array<bigint>, member_sigs binary, member_sizes binary, sigs binary, sizes binary, counts binary, grams binary, dfs binary"
 NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
 KINDS = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7]
-NODES = "doc_id long, sig long, size long, shared long, prefix array<bigint>, fragments array<array<bigint>>"
+#: 64-bit words of a node's bitmap, which holds the parity of its shared n-grams in each of 64 bins
+#: a word. Two bitmaps differ in at most as many bits as the sets differ in n-grams.
+BITMAP_WORDS = 4
+BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
+NODES = f"doc_id long, sig long, size long, shared long, prefix array<bigint>, fragments array<array<bigint>>, {', '.join(f'{b} long' for b in BITS)}"
 
 
 def gram_sets(texts: TextBytes, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +181,7 @@ def gather_nodes(num: int, den: int):
             for m in members:
                 k = len(m["members"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m["members"], pa.int64()), pa.array(np.frombuffer(m["member_sigs"], np.int64)), pa.array(np.frombuffer(m["member_sizes"], np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.list_(pa.int64())))],
+                    [pa.array(m["members"], pa.int64()), pa.array(np.frombuffer(m["member_sigs"], np.int64)), pa.array(np.frombuffer(m["member_sizes"], np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.list_(pa.int64()))), *[pa.nulls(k, pa.int64()) for _ in BITS]],
                     names,
                 )
             if not segments:
@@ -203,8 +207,11 @@ def gather_nodes(num: int, den: int):
             order = np.lexsort((grams, node))
             cell = node[order] * FRAGMENTS + range_of(grams[order], FRAGMENTS)
             fragments = ragged(pa.array(grams[order].view(np.int64)), np.bincount(cell, minlength=len(nodes) * FRAGMENTS))
+            bins, one = (grams[order] >> U64(8)) & U64(64 * BITMAP_WORDS - 1), U64(1)
+            bit = one << (bins & U64(63))
+            bits = [np.bitwise_xor.reduceat(np.where(bins >> U64(6) == U64(i), bit, U64(0)), start) for i in range(BITMAP_WORDS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(nodes), pa.int64()), pa.array(nodes.view(np.int64)), pa.array(size), pa.array(shared), ragged(pa.array(prefix.view(np.int64)), shared - least + 1), ragged(fragments, np.full(len(nodes), FRAGMENTS))],
+                [pa.nulls(len(nodes), pa.int64()), pa.array(nodes.view(np.int64)), pa.array(size), pa.array(shared), ragged(pa.array(prefix.view(np.int64)), shared - least + 1), ragged(fragments, np.full(len(nodes), FRAGMENTS)), *[pa.array(b.view(np.int64)) for b in bits]],
                 names,
             )
 
@@ -212,10 +219,12 @@ def gather_nodes(num: int, den: int):
 
 
 def may_link(a: str, b: str, num: int, den: int):
-    """Whether sizes and shared counts of two nodes allow a link: the overlap is at most the lesser
-    shared count."""
-    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
-    return den * most >= num * (F.col(f"{a}.size") + F.col(f"{b}.size") - most)
+    """Whether sizes, shared counts and bitmaps of two nodes allow a link: the overlap is at most
+    the lesser shared count, and at most half of both shared counts less the bits that differ."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    differ = sum((F.bit_count(of(a, c).bitwiseXOR(of(b, c))) for c in BITS), F.lit(0))
+    most = F.least(of(a, "shared"), of(b, "shared"), F.floor((of(a, "shared") + of(b, "shared") - differ) / 2))
+    return den * most >= num * (of(a, "size") + of(b, "size") - most)
 
 
 def links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -233,16 +242,16 @@ def near_duplicate_components(df: DataFrame, n: int = 5, num: int = 80, den: int
     df. Two texts link when den * overlap >= num * union of their sets of n-word shingles."""
     spark = df.sparkSession
     ship(spark)
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     step = docs.mapInArrow(cut_into_segments(n, ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
     step = step.mapInArrow(count_documents(ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
     gathered = settle(step.mapInArrow(gather_nodes(num, den), NODES), "gram-nodes")
     members = gathered.filter("prefix is null").select("doc_id", "sig", "size")
-    nodes = gathered.filter("prefix is not null").select("sig", "size", "shared", "prefix", "fragments")
-    posts = nodes.select("sig", "size", "shared", F.explode("prefix").alias("gram"))
+    nodes = gathered.filter("prefix is not null").select("sig", "size", "shared", "prefix", "fragments", *BITS)
+    posts = nodes.select("sig", "size", "shared", *BITS, F.explode("prefix").alias("gram"))
     # Round 1: each node of a list with the one that has the fewest n-grams of its own.
-    hubs = posts.groupBy("gram").agg(F.min(F.struct((F.col("size") - F.col("shared")).alias("own"), "sig", "size", "shared")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "hub.*")
+    hubs = posts.groupBy("gram").agg(F.min(F.struct((F.col("size") - F.col("shared")).alias("own"), "sig", "size", "shared", *BITS)).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "hub.*")
     near = posts.alias("p").join(hubs.alias("h"), "gram").filter((F.col("p.sig") != F.col("h.sig")) & may_link("p", "h", num, den))
     pairs = near.select(F.least("p.sig", "h.sig").alias("a"), F.greatest("p.sig", "h.sig").alias("b")).distinct()
     found = settle(links(pairs, nodes, num, den), "links")
