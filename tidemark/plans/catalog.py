@@ -1,6 +1,4 @@
-"""Registered queries and their DuckDB equivalents."""
+"""All registered queries of the market engine; importing the modules registers them."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import indicator_queries, relational_queries, series_queries, streaming_queries  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
