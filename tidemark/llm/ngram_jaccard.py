@@ -18,7 +18,8 @@ Documents with equal n-gram sets are one node from the first step on, however ma
 Defined results: null texts and texts without words have no n-grams, n_shingles 0 and are alone; a
 text of fewer than n words has its whole sequence as its one n-gram; repeated rows are copies of
 each other; a null doc_id takes part and is never the smallest unless all are null; an empty table
-gives an empty result; further columns are ignored. Equality of n-grams is that of 64-bit hashes.
+gives an empty result; further columns are ignored. Equality of n-grams is that of 56 bits
+of a hash.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tidemark.runtime import settle, ship
 
 #: Fragments of the global order in which a pair's overlaps are counted separately.
 FRAGMENTS = 4
+#: Parts of a range whose n-grams are counted one after another.
+PARTS = 4
 U64 = np.uint64
 SEGMENTS = "place int, members array<bigint>, member_sigs binary, member_sizes binary, sigs binary, sizes binary, counts binary, grams binary, dfs binary"
 NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
@@ -72,6 +75,18 @@ def gram_sets(texts: TextBytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return of[new], grams[new]
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """The upper 56 bits of each hash, which is all that n-grams are told apart by from here on."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """What pack wrote, as 64-bit numbers with a last byte of 0."""
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def range_of(x: np.ndarray, n: int) -> np.ndarray:
     """The one of n equal ranges of 64-bit numbers that holds x."""
     return (((x >> U64(32)) * U64(n)) >> U64(32)).astype(np.int64)
@@ -106,7 +121,7 @@ def cut_into_segments(n: int, ranges: int):
                 for r in np.flatnonzero(np.diff(bounds)).tolist():
                     a, b = bounds[r], bounds[r + 1]
                     docs, counts = np.unique(of[a:b], return_counts=True)
-                    rows.append({"place": r, "sigs": sigs[docs].tobytes(), "sizes": sizes[docs].astype(np.int64).tobytes(), "counts": counts.astype(np.int32).tobytes(), "grams": grams[a:b].tobytes()})
+                    rows.append({"place": r, "sigs": sigs[docs].tobytes(), "sizes": sizes[docs].astype(np.int64).tobytes(), "counts": counts.astype(np.int32).tobytes(), "grams": pack(grams[a:b])})
                 yield table(rows)
 
     return run
@@ -127,7 +142,21 @@ def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def joined(rows: list[dict], name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+    data = b"".join(r[name] for r in rows)
+    return np.frombuffer(data, kind) if kind else unpack(data)
+
+
+def shared_grams(grams: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram, node and number of nodes of each n-gram that two nodes or more hold."""
+    order = np.lexsort((node, grams))
+    grams, node = grams[order], node[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (node[1:] != node[:-1])
+    grams, node = grams[new], node[new]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1]]))
+    df = np.diff(np.append(starts, len(grams)))
+    df = np.repeat(df, df)
+    return grams[df > 1], node[df > 1], df[df > 1]
 
 
 def count_documents(ranges: int):
@@ -138,19 +167,13 @@ def count_documents(ranges: int):
         for place, members, segments in by_place(batches):
             rows = [m | {"place": place} for m in members]
             if segments:
-                sigs, sizes, counts, grams = (joined(segments, *x) for x in (("sigs", np.uint64), ("sizes", np.int64), ("counts", np.int32), ("grams", np.uint64)))
+                sigs, sizes, counts, grams = (joined(segments, *x) for x in (("sigs", np.uint64), ("sizes", np.int64), ("counts", np.int32), ("grams", None)))
                 nodes, at, inverse = np.unique(sigs, return_index=True, return_inverse=True)
-                node = np.repeat(inverse, counts)
-                order = np.lexsort((node, grams))
-                grams, node = grams[order], node[order]
-                new = np.ones(len(grams), bool)
-                new[1:] = (grams[1:] != grams[:-1]) | (node[1:] != node[:-1])
-                grams, node = grams[new], node[new]
-                starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-                df = np.diff(np.append(starts, len(grams)))
-                df = np.repeat(df, df)
-                shared = df > 1
-                grams, node, df = grams[shared], node[shared], df[shared]
+                node = np.repeat(inverse.astype(np.int32), counts)
+                # Part by part of the range, so that the sorting needs little memory.
+                part = (range_of(grams, ranges * PARTS) - place * PARTS).astype(np.int8)
+                found = [shared_grams(grams[part == k], node[part == k]) for k in range(PARTS)]
+                grams, node, df = map(np.concatenate, zip(*found, strict=True))
                 order = np.argsort(node, kind="stable")
                 grams, node, df = grams[order], node[order], df[order]
                 held, counts = np.unique(node, return_counts=True)
@@ -160,7 +183,7 @@ def count_documents(ranges: int):
                     a, b = bounds[r], bounds[r + 1]
                     x, y = ends[a], ends[b]
                     who = held[a:b]
-                    rows.append({"place": r, "sigs": nodes[who].tobytes(), "sizes": sizes[at[who]].tobytes(), "counts": counts[a:b].astype(np.int32).tobytes(), "grams": grams[x:y].tobytes(), "dfs": df[x:y].astype(np.int64).tobytes()})
+                    rows.append({"place": r, "sigs": nodes[who].tobytes(), "sizes": sizes[at[who]].tobytes(), "counts": counts[a:b].astype(np.int32).tobytes(), "grams": pack(grams[x:y]), "dfs": df[x:y].astype(np.int64).tobytes()})
             if rows:
                 yield table(rows)
 
@@ -186,7 +209,7 @@ def gather_nodes(num: int, den: int):
                 )
             if not segments:
                 continue
-            sigs, sizes, counts, grams, dfs = (joined(segments, *x) for x in (("sigs", np.uint64), ("sizes", np.int64), ("counts", np.int32), ("grams", np.uint64), ("dfs", np.int64)))
+            sigs, sizes, counts, grams, dfs = (joined(segments, *x) for x in (("sigs", np.uint64), ("sizes", np.int64), ("counts", np.int32), ("grams", None), ("dfs", np.int64)))
             nodes, at, inverse = np.unique(sigs, return_index=True, return_inverse=True)
             shared = np.bincount(inverse, counts, len(nodes)).astype(np.int64)
             size = sizes[at]
@@ -242,7 +265,7 @@ def near_duplicate_components(df: DataFrame, n: int = 5, num: int = 80, den: int
     df. Two texts link when den * overlap >= num * union of their sets of n-word shingles."""
     spark = df.sparkSession
     ship(spark)
-    ranges = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     step = docs.mapInArrow(cut_into_segments(n, ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
     step = step.mapInArrow(count_documents(ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
