@@ -265,7 +265,7 @@ def near_duplicate_components(df: DataFrame, n: int = 5, num: int = 80, den: int
     df. Two texts link when den * overlap >= num * union of their sets of n-word shingles."""
     spark = df.sparkSession
     ship(spark)
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(8, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     step = docs.mapInArrow(cut_into_segments(n, ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
     step = step.mapInArrow(count_documents(ranges), SEGMENTS).repartition(ranges, "place").sortWithinPartitions("place")
