@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import map_chunks
+from tidemark.llm.batches import chunks, map_chunks, release
 from tidemark.llm.textbytes import TextBytes
 from tidemark.runtime import ship
 
@@ -36,6 +36,8 @@ MAX_DOCS_PER_LANG = 1500
 #: Lengths of byte n-grams, and the number of buckets that they are hashed to.
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 12
+#: Texts whose counts are held at once.
+ROWS = 256
 #: The steepness of the loss for a mean weight, and the margin of loss below which a text is
 #: ambiguous.
 SCALE = 12.0
@@ -131,10 +133,8 @@ def learn(df: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
-        from tidemark.llm.batches import chunks
-
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, rows=ROWS):
                 langs = np.array(part.column(0).to_pylist(), object)
                 counts = ngram_counts(TextBytes(part.column(1), lower=True))
                 counts /= np.maximum(counts.sum(1, keepdims=True), 1)
@@ -143,6 +143,7 @@ def learn(df: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> Model:
         for lang, c in held.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
+        release()
 
     schema = StructType([StructField("lang", StringType()), StructField("bucket", IntegerType()), StructField("n", DoubleType())])
     # At most (number of languages) x (number of buckets) rows, whatever the input.
@@ -175,7 +176,7 @@ def identify(df: DataFrame, model: Model | None = None) -> DataFrame:
                 lang[i] = m.langs[b]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return map_chunks(df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text"), one, SCHEMA)
+    return map_chunks(df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text"), one, SCHEMA, rows=ROWS)
 
 
 def keep_identified(df: DataFrame, model: Model | None = None, least_score: float = 0.5) -> DataFrame:
@@ -196,4 +197,4 @@ def keep_identified(df: DataFrame, model: Model | None = None, least_score: floa
             clear[at] = (score >= least_score) & ~unclear
         return batch.filter(pa.array(clear))
 
-    return map_chunks(df, one, df.schema)
+    return map_chunks(df, one, df.schema, rows=ROWS)

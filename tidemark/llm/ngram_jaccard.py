@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import chunks
+from tidemark.llm.batches import chunks, release
 from tidemark.llm.components import components
 from tidemark.llm.textbytes import BLANK_WORDS, TextBytes, mix, window_hashes
 from tidemark.runtime import settle, ship
@@ -123,6 +123,7 @@ def cut_into_segments(n: int, ranges: int):
                     docs, counts = np.unique(of[a:b], return_counts=True)
                     rows.append({"place": r, "sigs": sigs[docs].tobytes(), "sizes": sizes[docs].astype(np.int64).tobytes(), "counts": counts.astype(np.int32).tobytes(), "grams": pack(grams[a:b])})
                 yield table(rows)
+        release()
 
     return run
 
@@ -186,6 +187,7 @@ def count_documents(ranges: int):
                     rows.append({"place": r, "sigs": nodes[who].tobytes(), "sizes": sizes[at[who]].tobytes(), "counts": counts[a:b].astype(np.int32).tobytes(), "grams": pack(grams[x:y]), "dfs": df[x:y].astype(np.int64).tobytes()})
             if rows:
                 yield table(rows)
+        release()
 
     return run
 
@@ -237,6 +239,7 @@ def gather_nodes(num: int, den: int):
                 [pa.nulls(len(nodes), pa.int64()), pa.array(nodes.view(np.int64)), pa.array(size), pa.array(shared), ragged(pa.array(prefix.view(np.int64)), shared - least + 1), ragged(fragments, np.full(len(nodes), FRAGMENTS)), *[pa.array(b.view(np.int64)) for b in bits]],
                 names,
             )
+        release()
 
     return run
 

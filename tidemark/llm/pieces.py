@@ -82,7 +82,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             of_text.append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_chunks(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), one, DIGEST_SCHEMA)
+    return map_chunks(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), one, DIGEST_SCHEMA, done=lambda: chunk_table(path).clear())
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,4 +96,4 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64)), pa.array([table.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return map_chunks(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), one, CODES_SCHEMA)
+    return map_chunks(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), one, CODES_SCHEMA, done=lambda: chunk_table(path).clear())

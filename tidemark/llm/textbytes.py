@@ -43,6 +43,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Drop the powers; the next use makes them again."""
+    _powers.clear()
+
+
 class TextBytes:
     """data: all bytes; starts, ends: of each text in data. With lower, A-Z become a-z."""
 
