@@ -114,7 +114,7 @@ def test_same_rows_as_sql(spark, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), c.sql(catalog.ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    text = lambda f: sorted(tuple("~" if pd.isna(x) else str(int(x) if isinstance(x, (float, np.number)) else x) for x in r) for r in f[columns].values.tolist())
+    text = lambda f: sorted(tuple("~" if pd.isna(x) else (f"{float(x):.9f}" if isinstance(x, (int, float, np.number)) else str(x)) for x in r) for r in f[columns].values.tolist())
     assert text(got) == text(want)
 
 

@@ -33,7 +33,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,11 @@ QUERIES = {
 
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": ngram_jaccard.oracle_sql(n=4, num=85, den=100),
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
+    "op5_quality_rules": quality.oracle_sql(),
+    "op6_decontamination": decontaminate.oracle_sql(),
     "op7_chat": chat.ORACLE_SQL,
     "op8_licences": licences.oracle_sql(),
 }

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.batches import map_chunks
 from tidemark.llm.textbytes import ALNUM_WORDS, TextBytes, covered, mix, window_hashes
 from tidemark.runtime import ship
@@ -178,3 +179,17 @@ def decontamination_report(documents: DataFrame, benchmark: DataFrame, window: i
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    lengths = list(range(1, window + 1))
+    return f"""
+WITH {sql.words("documents", sql.lowered("text"), sql.ALNUM_WORDS, "doc_id", "d")},
+{sql.words("(SELECT * FROM benchmark WHERE item_id IS NOT NULL)", sql.lowered("text"), sql.ALNUM_WORDS, "CAST(item_id AS VARCHAR) AS item_id", "b")},
+tests AS (SELECT DISTINCT item_id, n, key FROM ({sql.windows("b", lengths)}) JOIN b_rows USING (rid) WHERE n = least(len(ws), {window})),
+found AS (SELECT x.rid, x.i, x.n, t.item_id FROM ({sql.windows("d", lengths)}) x JOIN tests t USING (n, key)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM found)) GROUP BY rid),
+owned AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d_rows LEFT JOIN hit USING (rid) LEFT JOIN owned USING (rid)
+"""

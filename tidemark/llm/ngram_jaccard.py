@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.batches import chunks, release
 from tidemark.llm.components import components
 from tidemark.llm.textbytes import BLANK_WORDS, TextBytes, mix, window_hashes
@@ -295,3 +296,17 @@ def near_duplicate_components(df: DataFrame, n: int = 5, num: int = 80, den: int
     smallest = with_grams.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = with_grams.join(smallest, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return out.unionByName(tagged.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def oracle_sql(n: int, num: int, den: int) -> str:
+    return f"""
+WITH RECURSIVE {sql.words("documents", sql.lowered("text"), sql.BLANK_WORDS, "doc_id", "d")},
+grams AS (SELECT DISTINCT rid, key FROM ({sql.windows("d", list(range(1, n + 1)))}) x JOIN d_rows USING (rid) WHERE x.n = least(len(ws), {n})),
+sizes AS (SELECT rid, count(*) AS size FROM grams GROUP BY rid),
+met AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM grams a JOIN grams b ON a.key = b.key AND a.rid < b.rid GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE {den} * shared >= {num} * (x.size + y.size - shared)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rid AS a, rid AS b FROM d_rows UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+least_id AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN d_rows ON d_rows.rid = b GROUP BY 1)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id FROM d_rows JOIN least_id USING (rid) LEFT JOIN sizes USING (rid)
+"""

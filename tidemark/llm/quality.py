@@ -16,7 +16,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.batches import map_chunks
 from tidemark.llm.textbytes import BLANK_WORDS, TextBytes, byte_class, covered, mix, window_hashes
 from tidemark.runtime import ship
@@ -113,3 +115,33 @@ def quality_rules(
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
 
     return map_chunks(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), one, SCHEMA)
+
+
+def quality_report(df: DataFrame) -> DataFrame:
+    """quality_rules with a column for the share of each n-gram length."""
+    out = quality_rules(df)
+    return out.select("*", *[F.element_at("dup_ngram_shares", F.lit(n)).alias(f"dup_{n}gram_share") for n in NGRAM_LIMITS]).drop("dup_ngram_shares")
+
+
+def oracle_sql() -> str:
+    blank = sql.BLANK_WORDS
+    sums = ", ".join(f"sum(chars) FILTER (n = {n}) AS c{n}" for n in NGRAM_LIMITS)
+    share = lambda part, whole: f"coalesce({part}, 0) / greatest({whole}, 1)"
+    of_ngrams = ", ".join(f"{share(f'c{n}', 'word_chars')} AS dup_{n}gram_share" for n in NGRAM_LIMITS)
+    within = " AND ".join(f"dup_{n}gram_share <= CAST({most} AS DOUBLE)" for n, most in NGRAM_LIMITS.items())
+    return rf"""
+WITH {sql.words("documents", "coalesce(text, '')", blank, "doc_id, coalesce(text, '') AS text", "d")},
+repeats AS (SELECT rid, n, i FROM ({sql.windows("d", [3, *NGRAM_LIMITS])}) QUALIFY count(*) OVER (PARTITION BY rid, n, key) > 1),
+marked AS (SELECT DISTINCT rid, n, unnest(range(i, i + n)) AS i FROM repeats),
+of_words AS (SELECT rid, count(*) FILTER (n = 3) AS n_repeat_words, {sums} FROM (SELECT m.rid, m.n, length(word) AS chars FROM marked m JOIN d USING (rid, i)) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d_rows),
+held AS (SELECT rid, list_sum(list_transform(regexp_extract_all(line, '{blank}'), lambda x: length(x))) AS chars, row_number() OVER (PARTITION BY rid, line ORDER BY place) > 1 AS again FROM lines WHERE regexp_matches(line, '{blank}')),
+of_lines AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS line_chars FROM held GROUP BY rid),
+base AS (SELECT *, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM d_rows LEFT JOIN of_words USING (rid) LEFT JOIN of_lines USING (rid)),
+judged AS (
+  SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed, {share("n_dup_lines", "coalesce(n_lines, 0)")} AS dup_line_share, {share("line_chars", "word_chars")} AS dup_line_char_share, {of_ngrams}
+  FROM base
+)
+SELECT *, NOT base_failed AND dup_line_share <= CAST({LINE_LIMIT} AS DOUBLE) AND dup_line_char_share <= CAST({LINE_CHAR_LIMIT} AS DOUBLE) AND {within} AS kept FROM judged
+"""
