@@ -44,3 +44,27 @@ def body(o: Column, h: Column, low: Column, c: Column, whole_range: Column) -> C
 def zero_unless_positive(o: Column, c: Column) -> Column:
     """The change in percent, 0 where the open isn't positive."""
     return F.when(o > 0, (c - o) / o * 100).otherwise(F.lit(0.0))
+
+
+# How a time is shown on an axis, by timeframe; all others show hours and minutes.
+AXIS_FORMATS = {"1d": "dd MMM", "1w": "dd.MM", "1mo": "dd.MM", **dict.fromkeys(("1h", "2h", "4h", "6h", "12h"), "dd.MM HH:mm")}
+
+
+def axis_label(code: Column, ts: Column) -> Column:
+    by_format: dict[str, list[str]] = {}
+    for k, v in AXIS_FORMATS.items():
+        by_format.setdefault(v, []).append(k)
+    out = F.date_format(ts, "HH:mm")
+    for pattern, codes in by_format.items():
+        out = F.when(code.isin(codes), F.date_format(ts, pattern)).otherwise(out)
+    return out
+
+
+def day_number(ts: Column) -> Column:
+    """Days since 1970 with their fraction."""
+    return F.unix_micros(ts.cast("timestamp")) / 86_400e6
+
+
+def day_start(ts: Column) -> Column:
+    """Epoch seconds of the start of the day on the display zone's clock."""
+    return F.unix_seconds(F.to_utc_timestamp(F.date_trunc("day", to_display(ts)).cast("timestamp"), DISPLAY_ZONE))

@@ -1,4 +1,4 @@
 """All registered queries of the market engine; importing the modules registers them."""
 
-from tidemark.plans import indicator_queries, relational_queries, series_queries, streaming_queries  # noqa: F401
+from tidemark.plans import feed_queries, indicator_queries, relational_queries, series_queries, streaming_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
