@@ -5,7 +5,8 @@ the last return the columns of documents. run() writes each stage's rows to the
 reads them again for the next.
 
 Not every stage can be said in SQL (learned classifiers, sentencepiece), so ORACLE_SQL is None; the
-tests hold the rows against a brute-force version.
+tests hold the rows against a brute-force version. An empty table stays empty through all stages, and
+further columns go through them unchanged.
 """
 
 from __future__ import annotations
@@ -15,38 +16,55 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, line_dedup, ngram_jaccard, pieces
 from tidemark.llm.catalog import tokenizer_path
+from tidemark.llm.names import keeping
 from tidemark.runtime import settle, table
 
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; undetermined and ambiguous ones go."""
+    """Documents whose language is clear; undetermined and ambiguous ones go. Null texts and texts
+    without a letter are undetermined."""
     return language.keep_identified(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines but for their first place; documents left without any line go."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^ \t\r\n]")))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Texts without boilerplate lines but for their first place; documents left without any line go.
+    Null and empty texts and rows without a doc_id lose nothing and stay."""
+
+    def kept(rows: DataFrame) -> DataFrame:
+        out = line_dedup.dedup_lines(rows)
+        out = out.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^ \t\r\n]")))
+        return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return keeping(docs, ("n_lines", "n_removed"), kept)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id. Shingles of
-    five words, similarity of 0.8 or more."""
+    five words, similarity of 0.8 or more.
+
+    Of rows equal in every column one stays. Rows of one doc_id with different texts stay or go as
+    their texts do, or all of them stay if one does. Rows without a doc_id can't be told apart: all
+    stay, unless each of them has a near duplicate with a doc_id. Texts without words have none."""
     groups = ngram_jaccard.near_duplicate_components(docs, n=5, num=80, den=100)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id")).agg(F.count(F.lit(1)).alias("n"))
+    first = settle(first, "first-of-group")
+    once, again = first.filter("n = 1"), first.filter("n > 1")
+    rows_of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
+    if again.isEmpty():
+        return rows_of(first)
+    return rows_of(once).unionByName(rows_of(again).dropDuplicates())
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Null and empty texts hold none; repeated rows stay or
+    go together."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, and the text that they decode to."""
+    """The ids of every text, and the text that they decode to; a null text is the empty one."""
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

@@ -241,3 +241,36 @@ def test_pipeline(spark):
     assert not any(h for _, h, _ in brute_hits(list(rows.values())[:40], items, 10))
     final = corpus_pipeline.run(spark, SF)
     assert {r.doc_id: r.decoded for r in final.collect()} == rows
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, shared ids, columns with the operators' own names, and empty tables."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(30))
+    footer = "a common footer line"
+    texts = [None, "", long, long, long + " more", *[f"text {i} of its own\n{footer}" for i in range(9)], footer, long, f"{footer}\nx\ny", long]
+    ids = [0, 1, 7, 7, 8, *range(20, 29), 40, None, 41, 41]
+    clash = {c: F.lit(c) for c in ("hits", "items", "n_lines", "n_removed", "gone", "place", "line", "sig", "n", "first_id", "held_out")}
+    docs = documents(spark, texts, ids).withColumn("source", F.concat(F.lit("s"), F.coalesce("doc_id", F.lit(0)))).withColumns(clash)
+    stages = dict(corpus_pipeline.STAGES)
+    held = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+
+    def run(name, rows):
+        out = settle(stages[name](spark, rows, SF), "odd-rows")
+        assert out.columns == docs.columns and all(getattr(r, c) == c for r in out.collect() for c in clash)
+        assert stages[name](spark, rows.limit(0), SF).count() == 0
+        return held(out)
+
+    lines = run("line dedup", docs)
+    assert lines[20, texts[5]] == 1 and lines[21, "text 1 of its own"] == 1 and (40, "") not in lines
+    assert lines[7, long] == 2 and lines[None, long] == 1 and lines[0, None] == 1 and lines[1, ""] == 1
+    assert lines[41, "x\ny"] == 1 and lines[41, long] == 1
+    near = run("n-gram Jaccard join", docs)
+    assert near[7, long] == 1 and not {(8, texts[4]), (None, long)} & set(near) and near[0, None] == near[1, ""] == 1
+    alone = documents(spark, ["of its own words", long, long], [None, 3, None]).withColumns(clash)
+    assert run("n-gram Jaccard join", alone) == {(None, "of its own words"): 1, (3, long): 1, (None, long): 1}
+    assert run("benchmark decontamination", docs) == held(docs)
+    assert {t for _, t in run("language identification", docs)} == {t for t in texts if t}
+    last = stages["SentencePiece encoding"](spark, docs, SF)
+    assert last.count() == len(texts) and last.filter("doc_id = 0").first().decoded == ""

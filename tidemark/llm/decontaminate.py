@@ -13,7 +13,8 @@ more searches in a row, each adding to the hits so far, so no table grows beyond
 Defined results: null or empty texts have no words and are never hit; items without words, with a
 null text or with a null item_id have no windows; items of fewer words than a window are one window;
 repeated items count once by item_id; repeated documents are searched each; an empty documents or
-benchmark table gives no hits; further columns are ignored.
+benchmark table gives no hits; further columns are ignored, or kept as they are where documents
+themselves are returned (benchmark_hits replaces columns with the names of its results).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.batches import map_chunks
+from tidemark.llm.names import keeping
 from tidemark.llm.textbytes import ALNUM_WORDS, TextBytes, covered, mix, window_hashes
 from tidemark.runtime import ship
 
@@ -169,7 +171,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a benchmark window, with their own columns."""
-    return benchmark_hits(documents, benchmark, window).filter(F.size("hits") == 0).select(*documents.columns)
+    return keeping(documents, ("hits", "items", "n_words"), lambda d: benchmark_hits(d, benchmark, window).filter(F.size("hits") == 0))
 
 
 def decontamination_report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

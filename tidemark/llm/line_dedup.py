@@ -9,9 +9,10 @@ Only (doc_id, line number) of lines that go are joined back to their documents,
 shuffled once and hot lines are spread by skew-aware joins.
 
 Defined results: a null text stays null and has no lines; blank lines are never boilerplate; a null
-source is no site; of repeated rows each keeps or loses the same lines; a row with a null doc_id
-loses nothing; an empty table gives an empty result; the other columns of the input are kept as they
-are. Equality of lines is that of 64-bit hashes.
+source is no site; of repeated rows each keeps or loses the same lines; rows that share a doc_id but
+not a text lose only lines that they have at that place themselves; a row with a null doc_id loses
+nothing; an empty table gives an empty result; the other columns of the input are kept as they are,
+but that n_lines and n_removed are replaced. Equality of lines is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -51,16 +52,19 @@ def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """df with text without the boilerplate lines that go, and n_lines and n_removed."""
     found = boilerplate(df, min_sites)
     gone = lines_of(df).join(found, "line").filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    rows = df.join(gone, df["doc_id"] == F.col("gone_id"), "left").drop("gone_id")
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.array_sort(F.collect_set(F.struct("place", "line"))).alias("_gone"))
+    rows = df.join(gone, df["doc_id"] == F.col("_gone_id"), "left")
     lines = F.split("text", "\n", -1)
-    bounds = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
+    # Places where this row has that line: another row of the same doc_id may have another text.
+    held = F.filter("_gone", lambda g: F.xxhash64(F.get(lines, g["place"])) == g["line"])
+    rows = rows.withColumn("_gone", F.transform(held, lambda g: g["place"]))
+    bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
     # The runs of lines between those that go.
-    runs = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda k: F.slice(lines, F.get(bounds, k - 1) + 2, F.get(bounds, k) - F.get(bounds, k - 1) - 1))
-    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_gone") + 1), lambda k: F.slice(lines, F.get(bounds, k - 1) + 2, F.get(bounds, k) - F.get(bounds, k - 1) - 1))
+    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "text": text}).drop("gone")
+    n_removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("_gone", "_gone_id")
 
 
 def line_report(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
