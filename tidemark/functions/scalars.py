@@ -68,3 +68,40 @@ def day_number(ts: Column) -> Column:
 def day_start(ts: Column) -> Column:
     """Epoch seconds of the start of the day on the display zone's clock."""
     return F.unix_seconds(F.to_utc_timestamp(F.date_trunc("day", to_display(ts)).cast("timestamp"), DISPLAY_ZONE))
+
+
+# Years of history to load and seconds between updates, by timeframe; others load two
+# years.
+HISTORY_YEARS = {"1m": 0.5, "3m": 0.5, "5m": 0.5, "15m": 1.0, "30m": 1.0, "1h": 1.5, "2h": 1.5}
+REFRESH_SECONDS = {
+    "1m": 60, "3m": 60, "5m": 60, "15m": 900, "30m": 900, "1h": 3600, "2h": 3600, "4h": 14400, "6h": 14400, "12h": 14400, "1d": 86400, "1w": 86400, "1mo": 86400,
+}
+
+
+def looked_up(code: Column, table: dict, otherwise) -> Column:
+    """The value of a code in a fixed table of a few entries."""
+    pairs = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    return F.coalesce(F.try_element_at(pairs, code), F.lit(otherwise))
+
+
+def history_years(code: Column) -> Column:
+    return looked_up(code, HISTORY_YEARS, 2.0)
+
+
+def refresh_seconds(code: Column, otherwise: int = 3600) -> Column:
+    return looked_up(code, REFRESH_SECONDS, otherwise)
+
+
+def beijing_to_utc_millis(x: Column) -> Column:
+    """UTC milliseconds of an epoch on the clock eight hours ahead, in seconds or milliseconds; 0 for
+    one before the year 2000."""
+    first, ahead = 946_656_000, 8 * 3600
+    return F.when(x > first * 1000, x - ahead * 1000).when((x > first) & (x < first * 1000), (x - ahead) * 1000).otherwise(F.lit(0).cast("long"))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A message template with {name} in it, filled from columns; a missing value shows as N/A."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("N/A")))
+    return out

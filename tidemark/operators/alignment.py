@@ -29,10 +29,11 @@ def mean_gap(bars: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def due(last: DataFrame, timeframes: DataFrame, now: DataFrame) -> DataFrame:
-    """Series and timeframes whose last bar is a whole timeframe old: last(instrument, last_ts) by
-    the fixed table of timeframes, and now(now) of one row."""
-    age = F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
-    return last.crossJoin(F.broadcast(timeframes.select("code", "seconds"))).crossJoin(F.broadcast(now)).filter(age >= F.col("seconds")).select("instrument", "code")
+    """Series and timeframes whose last bar is a whole timeframe old: last(instrument, last_ts), the
+    fixed table of timeframes as one array, and now(now) of one row."""
+    age = F.unix_seconds(now.select("now").scalar().cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
+    every = timeframes.agg(F.collect_list(F.struct("code", "seconds"))).scalar()
+    return last.select("instrument", age.alias("age"), F.inline(every)).filter(F.col("age") >= F.col("seconds")).select("instrument", "code")
 
 
 def shapes(points: DataFrame) -> DataFrame:

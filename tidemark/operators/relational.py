@@ -53,3 +53,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     rows = left.select(key, ts, F.lit(1).alias("is_left"), F.lit(None).cast(right.schema[value].dataType).alias(value)).unionByName(right.select(key, ts, F.lit(0).alias("is_left"), value))
     seen = Window.partitionBy(key).orderBy(ts, "is_left").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, True).over(seen)).filter("is_left = 1").drop("is_left")
+
+
+def with_new_ids(names: DataFrame, stored: DataFrame, name: str, key: str) -> DataFrame:
+    """stored(key, name) and a row for each name that it lacks, whatever the case; new keys go on from
+    the largest, in order of the names. Names are numbered inside their first two characters, and a
+    running sum over those few groups tells where each begins."""
+    offered = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("low")).agg(F.min(name).alias(name))
+    fresh = offered.join(stored.select(F.lower(name).alias("low")), "low", "left_anti")
+    fresh = fresh.withColumn("head", F.substring("low", 1, 2))
+    heads = fresh.groupBy("head").count().withColumn("before", F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
+    top = stored.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("top"))
+    placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy("low"))).join(heads.select("head", "before"), "head")
+    numbered = placed.select((top.scalar() + F.col("before") + F.col("place")).alias(key), name)
+    return stored.select(F.col(key).cast("long").alias(key), name).unionByName(numbered)
+
+
+def newer_than_mark(incoming: DataFrame, stored: DataFrame, key: str, ts: str) -> DataFrame:
+    """Incoming rows later than the last stored one of their key; all rows of a key not stored yet."""
+    marks = stored.groupBy(F.col(key).alias("mark_key")).agg(F.max(ts).alias("mark"))
+    return incoming.join(marks, F.col(key) == F.col("mark_key"), "left").filter(F.col("mark").isNull() | (F.col(ts) > F.col("mark"))).drop("mark_key", "mark")

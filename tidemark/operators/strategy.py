@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import lag, series, sma
+from tidemark.operators import indicators as ind
 
 
 def average_crosses(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
@@ -23,6 +24,15 @@ def breakouts(bars: DataFrame, n: int = 20) -> DataFrame:
     return rows.withColumn("side", side).filter("side is not null").select("instrument", "ts", "close", "side")
 
 
+def threshold_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0) -> DataFrame:
+    """instrument, ts, price, side: bars where the RSI enters the zone under low (BUY) or over high
+    (SELL)."""
+    rows = ind.base(bars).withColumn("rsi", ind.rsi(n))
+    rows = rows.withColumn("side", F.when(F.col("rsi") < low, "BUY").when(F.col("rsi") > high, "SELL"))
+    rows = rows.withColumn("side_before", lag(F.col("side")))
+    return rows.filter(F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("side_before"))).select("instrument", "ts", F.col("close").alias("price"), "side")
+
+
 def line_breaks(bars: DataFrame) -> DataFrame:
     """Bars whose close crosses the straight line from the first to the last close of the series."""
     w = Window.partitionBy("instrument")
