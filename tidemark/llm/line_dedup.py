@@ -53,9 +53,9 @@ def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     found = boilerplate(df, min_sites)
     gone = lines_of(df).join(found, "line").filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.array_sort(F.collect_set(F.struct("place", "line"))).alias("_gone"))
-    rows = df.join(gone, df["doc_id"] == F.col("_gone_id"), "left")
-    lines = F.split("text", "\n", -1)
+    rows = df.join(gone, df["doc_id"] == F.col("_gone_id"), "left").withColumn("_lines", F.split("text", "\n", -1))
     # Places where this row has that line: another row of the same doc_id may have another text.
+    lines = F.col("_lines")
     held = F.filter("_gone", lambda g: F.xxhash64(F.get(lines, g["place"])) == g["line"])
     rows = rows.withColumn("_gone", F.transform(held, lambda g: g["place"]))
     bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
@@ -64,7 +64,7 @@ def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     n_removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("_gone", "_gone_id")
+    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("_gone", "_gone_id", "_lines")
 
 
 def line_report(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
