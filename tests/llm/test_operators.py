@@ -274,3 +274,14 @@ def test_stages_on_odd_rows(spark):
     assert {t for _, t in run("language identification", docs)} == {t for t in texts if t}
     last = stages["SentencePiece encoding"](spark, docs, SF)
     assert last.count() == len(texts) and last.filter("doc_id = 0").first().decoded == ""
+
+
+def test_language_counts_do_not_depend_on_blocks(monkeypatch):
+    from tidemark.llm.textbytes import TextBytes
+
+    texts = TextBytes(pa.array(["", "abcabcabc", None, "é字", "x", "x" * 70, ""]), lower=True)
+    whole = language.ngram_counts(texts)
+    assert whole.sum(1).tolist() == [0, 21, 0, 4 + 3 + 2, 0, 69 + 68 + 67, 0]
+    for block in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert (language.ngram_counts(texts) == whole).all()

@@ -36,6 +36,8 @@ MAX_DOCS_PER_LANG = 1500
 #: Lengths of byte n-grams, and the number of buckets that they are hashed to.
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 12
+#: Bytes whose n-grams are counted at once.
+BLOCK = 1 << 19
 #: Texts whose counts are held at once.
 ROWS = 256
 #: The steepness of the loss for a mean weight, and the margin of loss below which a text is
@@ -53,25 +55,28 @@ def has_letter(text: str | None) -> bool:
 
 
 def ngram_counts(texts: TextBytes) -> np.ndarray:
-    """Counts of hashed byte n-grams, a row for each text and BUCKETS columns for each order."""
-    n, d = len(texts), texts.data.astype(np.uint32)
-    size = texts.ends - texts.starts
-    out = np.zeros((n, BUCKETS * len(ORDERS)))
-    if not len(d):
-        return out
-    doc = np.repeat(np.arange(n, dtype=np.int64), size)
-    at_end = np.repeat(texts.ends, size)
-    position = np.arange(len(d))
-    code = d
-    for k, order in enumerate(range(2, max(ORDERS) + 1)):
-        m = len(d) - order + 1
-        if m <= 0:
-            break
-        code = (code[:m] << np.uint32(8)) | d[order - 1 :]
-        whole = position[:m] + order <= at_end[:m]
-        bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12)).astype(np.int64)
-        counts = np.bincount((doc[:m] * BUCKETS + bucket)[whole], minlength=n * BUCKETS)
-        out[:, k * BUCKETS : (k + 1) * BUCKETS] = counts.reshape(n, BUCKETS)
+    """Counts of hashed byte n-grams, a row for each text and BUCKETS columns for each order. The
+    bytes are handled in blocks, so that a long text takes no more memory than short ones; an n-gram
+    belongs to the block of its first byte."""
+    out = np.zeros((len(texts), BUCKETS * len(ORDERS)))
+    total = len(texts.data)
+    for start in range(0, total, BLOCK):
+        stop = min(start + BLOCK, total)
+        a, b = np.searchsorted(texts.ends, start, side="right"), np.searchsorted(texts.ends, stop - 1, side="right") + 1
+        inside = np.minimum(texts.ends[a:b], stop) - np.maximum(texts.starts[a:b], start)
+        doc = np.repeat(np.arange(b - a), inside)
+        left = np.repeat(texts.ends[a:b], inside) - np.arange(start, stop)
+        d = texts.data[start : min(stop + max(ORDERS) - 1, total)].astype(np.uint32)
+        code = d
+        for k, order in enumerate(ORDERS):
+            m = len(d) - order + 1
+            if m <= 0:
+                break
+            code = (code[:m] << np.uint32(8)) | d[order - 1 :]
+            m = min(m, stop - start)
+            bucket = ((code[:m] * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12)).astype(np.int64)
+            counts = np.bincount((doc[:m] * BUCKETS + bucket)[left[:m] >= order], minlength=(b - a) * BUCKETS)
+            out[a:b, k * BUCKETS : (k + 1) * BUCKETS] += counts.reshape(b - a, BUCKETS)
     return out
 
 
