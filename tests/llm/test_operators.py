@@ -205,6 +205,73 @@ def test_licences(spark):
     assert [got[n + i] for i in range(3)] == [("MIT", "MIT"), ("CC-BY-NC-4.0,Proprietary", "CC-BY-NC-4.0"), ("MIT", "MIT")]
 
 
+def test_licences_as_they_are_written(spark):
+    """Wrapped texts with list numbers, comment leaders and both line ends."""
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    fulls = {mit: ("MIT", "5|6"), apache: ("Apache-2.0", "7|8|9|10|11"), gpl: ("GPL-3.0-or-later", "12|14|15|16"), bsd: ("BSD-3-Clause", "17|18|19|20")}
+    shorts = {
+        "This project is licensed under the MIT License - see the [LICENSE](LICENSE.md) file for details.": "MIT", "// SPDX-License-Identifier: GPL-2.0\nint x;": "GPL-2.0", "Code is good. Licensed under the\nApache License 2.0.": "Apache-2.0",
+        "Why? The MIT\nLicense (MIT)": "MIT", "We read the MIT License and laughed.": None, "an unlicensed under the mit license": None,
+    }
+    wraps = [lambda t: t, lambda t: "x = 1\n" + "\n".join(f"# {x}".rstrip() for x in t.split("\n")) + "\ny = 2", lambda t: "/*\r\n" + "\r\n".join(f" * {x}" for x in t.split("\n")) + "\r\n */", lambda t: "\n".join(f"; {x}" for x in t.split("\n")), lambda t: "\n".join(f"dnl {x}" for x in t.split("\n")), lambda t: " ".join(t.split())]
+    cases = [(w(t), name, ids) for t, (name, ids) in fulls.items() for w in wraps] + [(t, name, None) for t, name in shorts.items()]
+    got = {r.doc_id: r for r in licences.scan_licences(documents(spark, [t for t, _, _ in cases])).collect()}
+    for i, (t, name, ids) in enumerate(cases):
+        assert got[i].licence == name, t
+        assert ids is None or ids in got[i].sentence_ids, t
+
+
 def test_language(spark):
     got = catalog.QUERIES["op10_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out")

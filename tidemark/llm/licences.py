@@ -1,9 +1,16 @@
 """Licence scans by sentence rules, with Spark expressions only.
 
-A text is cut into sentences, each normalised to lower-case words of letters and digits. Known
-licence sentences map to identifiers; the text's sequence of identifiers is matched against ordered
-licence rules, each a sequence of identifiers that must occur in a row. All rules that match are
-reported, in the order of the rules; the first one is the text's licence.
+A text is normalised to lower-case words of letters and digits, with marks where a sentence may begin
+or end: line ends, . ! ? ; : before a blank, and list numbers. A known licence sentence is found where
+its words stand in a row from one mark to another, whatever marks are between, so it may be wrapped
+over lines, with comment leaders, or share a line with others; one of LONG words or more needs no marks
+around it. Of sentences that overlap the first counts, and of those with the same begin the longest.
+The text's sequence of their identifiers is matched against ordered licence rules, each a sequence of
+identifiers that must occur in a row. All rules that match are reported, in the order of the rules;
+the first one is the text's licence.
+
+The SQL equivalent knows SENTENCES and RULES alone, and sentences that have a line or the space
+between two of . ! ? to themselves; on such texts both give the same.
 
 Defined results: a null, empty or licence-free text has no sentence, no rule and a null licence;
 unknown sentences between known ones don't break a sequence; repeated rows are scanned each; an
@@ -13,7 +20,7 @@ long.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Known sentences, normalised; an identifier is the place in this list, from 1.
@@ -75,6 +82,66 @@ RULES = [
     ("Proprietary", (31,)),
 ]
 
+# Further wordings, each a licence by itself, among them names of licences, which may
+# have LEAD before and TAIL after them.
+WORDINGS = [
+    *[("MIT", s) for s in ("the mit license", "the mit license mit", "mit license mit")],
+    ("Apache-2.0", "apache license version 2 0 january 2004"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("MPL-2.0", "mozilla public license version 2 0"),
+    *[("MPL-2.0", f"this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {h} mozilla org mpl 2 0") for h in ("http", "https")],
+]
+NAMED = {
+    "MIT": ["mit license", "mit licence"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3", "gpl v3", "gplv3", "gplv3 license"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2", "gpl v2", "gplv2", "gplv2 license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0"],
+}
+LEAD = "(?:(?:this|the) (?:project|software|work|code|program|library|file) is )?(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?"
+TAIL = " see (?:the )?license(?: md| txt)?(?: license(?: md| txt)?)?(?: file)?(?: for (?:more )?(?:details|information))?"
+SPDX = {
+    "MIT": ["mit"], "Apache-2.0": ["apache 2 0"], "GPL-3.0-or-later": ["gpl 3 0 or later"], "GPL-2.0-or-later": ["gpl 2 0 or later"], "GPL-3.0": ["gpl 3 0", "gpl 3 0 only"], "GPL-2.0": ["gpl 2 0", "gpl 2 0 only"],
+    "BSD-3-Clause": ["bsd 3 clause"], "BSD-2-Clause": ["bsd 2 clause"], "MPL-2.0": ["mpl 2 0"], "Unlicense": ["unlicense"], "CC-BY-NC-4.0": ["cc by nc 4 0"], "CC-BY-SA-4.0": ["cc by sa 4 0"], "CC-BY-4.0": ["cc by 4 0"],
+}
+WORDINGS += [(name, s) for name, forms in NAMED.items() for s in forms]
+WORDINGS += [(name, f"spdx license identifier {i}") for name, ids in SPDX.items() for i in ids]
+# The full texts' own variants: MIT's second condition, Apache's address.
+VARIANTS = [
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0",
+]
+# Words from which a sentence needs no marks around it.
+LONG = 12
+ALL_SENTENCES = list(dict.fromkeys([*SENTENCES, *VARIANTS, *[s for _, s in WORDINGS]]))
+ORDER = list(dict.fromkeys(name for name, _ in RULES))
+ORDER.insert(ORDER.index("GPL-3.0") + 1, "GPL-2.0")
+ALL_RULES = sorted(
+    [*RULES, ("MIT", (5, 32)), ("Apache-2.0", (7,)), ("Apache-2.0", (7, 8, 33, 10, 11)), *[(name, (ALL_SENTENCES.index(s) + 1,)) for name, s in WORDINGS]], key=lambda r: ORDER.index(r[0])
+)
+
+
+def pattern() -> str:
+    """A known sentence from mark to mark, or of LONG words or more anywhere; its blanks may be marks."""
+    names = "|".join(sorted((s for forms in NAMED.values() for s in forms), key=len, reverse=True))
+    sentences = sorted(ALL_SENTENCES, key=len, reverse=True)
+    long = [s for s in sentences if s.count(" ") + 1 >= LONG]
+    short = [*[s for s in sentences if s not in long], f"(?:{LEAD})?(?:{names})(?:{TAIL})?"]
+    either = [f"(?:{'|'.join(forms)})".replace(" ", r"[ \n]") for forms in (long, short)]
+    return rf"(?<=[ \n]){either[0]}(?=[ \n])|(?<=\n){either[1]}(?=\n)"
+
+
+def marked(text: Column) -> Column:
+    """Words of a-z and 0-9 with a blank or, where a sentence may begin or end, a newline between them."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?m)^[ \t]*(?:dnl|rem)[ \t]", "")
+    ends = F.regexp_replace(plain, r"([.!?;:][\"')\]]?)[ \t\r\n]+", "$1\n")
+    ends = F.regexp_replace(ends, r"(?m)^([^a-z0-9\n]{0,20}[a-z0-9]{1,3}\))[ \t]+", "$1\n")
+    words = F.concat(F.lit("\n"), F.regexp_replace(ends, r"[^a-z0-9\n]+", " "), F.lit("\n"))
+    return F.regexp_replace(words, r" ?\n[ \n]*", "\n")
+
 
 def key(ids: tuple[int, ...]) -> str:
     return "|" + "|".join(map(str, ids)) + "|"
@@ -83,14 +150,13 @@ def key(ids: tuple[int, ...]) -> str:
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licences (names of matching rules, in order,
     comma-joined) and licence (the first, or null) of every text of df."""
-    known = F.create_map(*[F.lit(x) for i, s in enumerate(SENTENCES, 1) for x in (s, i)])
-    longest = max(map(len, SENTENCES))
-    ends = F.regexp_replace(F.coalesce(df[text_col], F.lit("")), r"([.!?])[ \t\r\n]+", "$1\n")
-    normal = F.transform(F.split(F.lower(ends), "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(F.filter(normal, lambda s: F.octet_length(s).between(1, longest)), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    known = F.create_map(*[F.lit(x) for i, s in enumerate(ALL_SENTENCES, 1) for x in (s, i)])
+    held = F.transform(F.regexp_extract_all(marked(df[text_col]), F.lit(pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    name = lambda s: F.regexp_replace(s, f"^{LEAD}|{TAIL}$", "")
+    ids = F.transform(held, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, name(s))))
     found = df.select(df[id_col].cast("long").alias("doc_id"), F.array_join(ids.cast("array<string>"), "|").alias("ids"))
     held = F.concat(F.lit("|"), F.col("ids"), F.lit("|"))
-    names = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(held, F.lit(key(ids))), F.lit(name)) for name, ids in RULES])))
+    names = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(held, F.lit(key(ids))), F.lit(name)) for name, ids in ALL_RULES])))
     return found.select(
         "doc_id", F.when(F.col("ids") == "", F.lit(0)).otherwise(F.size(F.split("ids", r"\|"))).cast("long").alias("n_sentences"),
         F.col("ids").alias("sentence_ids"), F.array_join(names, ",").alias("licences"), F.try_element_at(names, F.lit(1)).alias("licence"),
