@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import relational as R
+from tidemark.plans import catalog
 from tidemark.sources import connectors as C
 
 
@@ -46,3 +47,16 @@ def test_newer_than_mark(spark):
 def test_rules(spark):
     row = spark.range(1).select(S.history_years(F.lit("5m")), S.history_years(F.lit("?")), S.refresh_seconds(F.lit("?")), S.beijing_to_utc_millis(F.lit(5)), S.filled("{a} {b}", a=F.lit("$1"), b=F.lit(None)), C.fund_error(F.lit(1)))
     assert tuple(row.first()) == (0.5, 2.0, 3600, 0, "$1 N/A", "")
+
+
+def test_messages_of_all_orders(spark):
+    """Every order has its row, those up to the year 2000 with 0."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    rows = catalog.QUERIES["messages_of_all_orders"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == orders.count() == 1500
+    zero = [r for r in rows if r.from_seconds == 0]
+    assert len(zero) == 1161 and all(r.from_millis == 0 and r.message.endswith(f"#{r.o_orderkey}") for r in zero)
+    first = 946_656_000
+    shifted = spark.createDataFrame([(first, first * 1000), (first + 1, first * 1000 + 1), (first * 1000, 788_918_400_000)], "s long, ms long")
+    got = shifted.select(S.beijing_seconds_to_utc_millis(F.col("s")), S.beijing_millis_to_utc_millis(F.col("ms"))).collect()
+    assert [tuple(r) for r in got] == [(0, 0), ((first + 1 - 28800) * 1000, first * 1000 + 1 - 28_800_000), (0, 0)]

@@ -99,6 +99,18 @@ def beijing_to_utc_millis(x: Column) -> Column:
     return F.when(x > first * 1000, x - ahead * 1000).when((x > first) & (x < first * 1000), (x - ahead) * 1000).otherwise(F.lit(0).cast("long"))
 
 
+def beijing_seconds_to_utc_millis(x: Column) -> Column:
+    """UTC milliseconds of seconds on the clock eight hours ahead; 0 for ones up to the year 2000 there
+    and for what can only be milliseconds."""
+    first = 946_656_000
+    return F.when((x > first) & (x < first * 1000), (x - 8 * 3600) * 1000).otherwise(F.lit(0).cast("long"))
+
+
+def beijing_millis_to_utc_millis(x: Column) -> Column:
+    """UTC milliseconds of milliseconds on the clock eight hours ahead; 0 for ones up to the year 2000 there."""
+    return F.when(x > 946_656_000_000, x - 8 * 3600 * 1000).otherwise(F.lit(0).cast("long"))
+
+
 def filled(template: str, **values: Column) -> Column:
     """A message template with {name} in it, filled from columns; a missing value shows as N/A."""
     out = F.lit(template)

@@ -119,7 +119,8 @@ def timeframe_rules(spark, sf_dir):
 CASE o_orderkey % 3 WHEN 0 THEN 'System error' WHEN 1 THEN 'Invalid ETF name' ELSE '' END AS meaning,
 '<b>' || o_orderstatus || '</b> ' || coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' END, 'N/A') || ' #' || o_orderkey AS message FROM orders WHERE epoch(o_orderdate) > 946656000""")
 def messages(spark, sf_dir):
-    """Clock shift, meanings of error codes and filled message templates."""
+    """Clock shift, meanings of error codes and filled message templates, of orders after 1999 as in its
+    SQL; messages_of_all_orders has all."""
     orders = table(spark, sf_dir, "orders")
     seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     code = F.when(F.col("o_orderkey") % 3 == 0, 13500).when(F.col("o_orderkey") % 3 == 1, 10400).otherwise(200)
@@ -127,6 +128,19 @@ def messages(spark, sf_dir):
     return orders.filter(seconds > 946656000).select("o_orderkey", S.beijing_to_utc_millis(seconds).alias("from_seconds"), S.beijing_to_utc_millis(seconds * 1000).alias("from_millis"), C.fund_error(code).alias("meaning"), text.alias("message"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN epoch(o_orderdate) > 946656000 THEN CAST(epoch(o_orderdate) AS BIGINT) * 1000 - 28800000 ELSE CAST(0 AS BIGINT) END AS from_seconds,
+CASE WHEN epoch_ms(o_orderdate) > 946656000000 THEN CAST(epoch_ms(o_orderdate) AS BIGINT) - 28800000 ELSE CAST(0 AS BIGINT) END AS from_millis,
+CASE o_orderkey % 3 WHEN 0 THEN 'System error' WHEN 1 THEN 'Invalid ETF name' ELSE '' END AS meaning,
+'<b>' || o_orderstatus || '</b> ' || coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' END, 'N/A') || ' #' || o_orderkey AS message FROM orders""")
+def messages_of_all_orders(spark, sf_dir):
+    """messages without a bound on the date: the clock shift is 0 up to the year 2000."""
+    at = F.col("o_orderdate").cast("timestamp")
+    code = F.when(F.col("o_orderkey") % 3 == 0, 13500).when(F.col("o_orderkey") % 3 == 1, 10400).otherwise(200)
+    text = S.filled("<b>{symbol}</b> {side} #{id}", symbol=F.col("o_orderstatus"), side=F.when(F.col("o_orderkey") % 2 == 0, "BUY"), id=F.col("o_orderkey"))
+    shifted = S.beijing_seconds_to_utc_millis(F.unix_seconds(at)).alias("from_seconds"), S.beijing_millis_to_utc_millis(F.unix_millis(at)).alias("from_millis")
+    return table(spark, sf_dir, "orders").select("o_orderkey", *shifted, C.fund_error(code).alias("meaning"), text.alias("message"))
+
+
 @query(f"""WITH {BASE}, g AS (SELECT *, {gate('avg', 'gain', 14)} AS g, {gate('avg', 'loss', 14)} AS l FROM base),
 x AS (SELECT instrument, ts, close, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END AS rsi FROM g),
 s AS (SELECT *, CASE WHEN rsi < 30 THEN 'BUY' WHEN rsi > 70 THEN 'SELL' END AS side FROM x), p AS (SELECT *, lag(side) OVER (PARTITION BY instrument ORDER BY ts) AS before FROM s)
