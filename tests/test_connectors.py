@@ -60,3 +60,14 @@ def test_messages_of_all_orders(spark):
     shifted = spark.createDataFrame([(first, first * 1000), (first + 1, first * 1000 + 1), (first * 1000, 788_918_400_000)], "s long, ms long")
     got = shifted.select(S.beijing_seconds_to_utc_millis(F.col("s")), S.beijing_millis_to_utc_millis(F.col("ms"))).collect()
     assert [tuple(r) for r in got] == [(0, 0), ((first + 1 - 28800) * 1000, first * 1000 + 1 - 28_800_000), (0, 0)]
+
+
+def test_symbols_with_total_volume(spark):
+    """Every customer counts; symbols without a ticker or without volume go."""
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").toPandas()
+    want = customers.assign(vol=customers.c_acctbal.round().clip(lower=0)).groupby("c_nationkey").vol.sum()
+    got = {r.n_nationkey: r.vol for r in catalog.QUERIES["symbols_with_total_volume"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    symbols = spark.createDataFrame([("BTC",), ("ETH",), ("ADA",), ("SOL",), ("XRP",)], "symbol string")
+    tickers = spark.createDataFrame([("btc", 2.0), ("Eth", 0.0), ("ada", None), ("xrp", -1.0), ("dot", 3.0)], "symbol string, vol double")
+    assert sorted(map(tuple, C.with_volume(symbols, tickers).select("symbol", "vol").collect())) == [("BTC", 2.0), ("XRP", -1.0)]

@@ -85,12 +85,22 @@ def listed_symbols(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, vol FROM nation JOIN (SELECT c_nationkey, sum(greatest(round(c_acctbal), 0)) AS vol FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) ON c_nationkey = n_nationkey WHERE vol <> 0")
 def symbols_with_volume(spark, sf_dir):
+    """Nations with the volume of a third of the customers, as in its SQL; symbols_with_total_volume has all."""
     nation = table(spark, sf_dir, "nation")
     volumes = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").groupBy("c_nationkey").agg(F.sum(F.greatest(F.round("c_acctbal"), F.lit(0.0))).alias("vol"))
     tickers = nation.join(volumes, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lower("n_name").alias("symbol"), "vol")
     return C.with_volume(nation.select("n_nationkey", "n_name", F.upper("n_name").alias("symbol")), tickers).select("n_nationkey", "n_name", "vol")
 
 
+@query("SELECT n_nationkey, n_name, vol FROM nation JOIN (SELECT c_nationkey, sum(greatest(round(c_acctbal), 0)) AS vol FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE vol <> 0")
+def symbols_with_total_volume(spark, sf_dir):
+    """Nations with the volume of all their customers."""
+    nation = table(spark, sf_dir, "nation")
+    volumes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.greatest(F.round("c_acctbal"), F.lit(0.0))).alias("vol"))
+    tickers = nation.join(volumes, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lower("n_name").alias("symbol"), "vol")
+    return C.with_volume(nation.select("n_nationkey", "n_name", F.upper("n_name").alias("symbol")), tickers).select("n_nationkey", "n_name", "vol")
+
+
 @query("""WITH s AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0),
 f AS (SELECT lower(n_name) AS low, min(n_name) AS name FROM nation WHERE n_nationkey % 2 = 1 GROUP BY 1 UNION ALL SELECT DISTINCT lower(c_name), c_name FROM customer)
 SELECT CAST(id AS BIGINT) AS id, name FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY low), name FROM f""")
