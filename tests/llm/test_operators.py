@@ -181,6 +181,16 @@ def test_decontamination(spark, block):
     assert not none.filter("contaminated").count() and none.first().items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_decontamination_of_items_without_id(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = documents(spark, [f"before {passage} after", "of its own", f"x {passage} named item"])
+    bench = spark.createDataFrame([(None, passage), (None, None), (5, "named item")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontamination_report(docs, bench).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in range(3)] == [(12, 0, sha(""), True), (0, 0, sha(""), False), (14, 1, sha("5"), True)]
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [1]
+
+
 def test_chat_reads_back(spark):
     texts = ["\\", "\\|", "<|im_end|>\n", "<\\|", "", None, "<", "|im_sep|>", "\\<|im_next|>", "$1 \\Q\\E"]
     rows = [(c, k % 7, ("user", "assistant", "a<|im_sep|>b", None)[(k * c) % 4], t) for c in range(1, 6) for k, t in enumerate(texts)]

@@ -10,11 +10,13 @@ direct comparison of the words confirms an occurrence.
 The tables are sent to the executors in blocks of items of a checked size; a larger benchmark takes
 more searches in a row, each adding to the hits so far, so no table grows beyond BLOCK_BYTES.
 
-Defined results: null or empty texts have no words and are never hit; items without words, with a
-null text or with a null item_id have no windows; items of fewer words than a window are one window;
-repeated items count once by item_id; repeated documents are searched each; an empty documents or
-benchmark table gives no hits; further columns are ignored, or kept as they are where documents
-themselves are returned (benchmark_hits replaces columns with the names of its results).
+Defined results: null or empty texts have no words and are never hit; items without words or with a
+null text have no windows; items with a null item_id count in n_hit and contaminated and drop
+documents, but are in no list or number of items (the SQL, and benchmark_hits without unnamed, leave
+them out); items of fewer words than a window are one window; repeated items count once by item_id;
+repeated documents are searched each; an empty documents or benchmark table gives no hits; further
+columns are ignored, or kept as they are where documents themselves are returned (benchmark_hits
+replaces columns with the names of its results).
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def window_hashes_of(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(items: list[tuple[str, str]], window: int) -> list[Tables]:
+def build(items: list[tuple[str | None, str]], window: int) -> list[Tables]:
     """The tables of these (item_id, text), one for each length of window that occurs."""
     by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
@@ -120,11 +122,11 @@ def build(items: list[tuple[str, str]], window: int) -> list[Tables]:
         h = texts.hashes(*texts.words(ALNUM_WORDS)[:2]).tolist()
         m = min(window, len(h))
         for i in range(len(h) - m + 1 if m else 0):
-            by_length[m][tuple(h[i : i + m])].add(item)
+            by_length[m][tuple(h[i : i + m])] |= set() if item is None else {item}
     return [Tables(m, w) for m, w in sorted(by_length.items())]
 
 
-def search_block(docs: DataFrame, items: list[tuple[str, str]], window: int, text_col: str) -> DataFrame:
+def search_block(docs: DataFrame, items: list[tuple[str | None, str]], window: int, text_col: str) -> DataFrame:
     """docs with what this block of items hits added to its columns hits and items; n_words is set."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     names = docs.columns
@@ -155,11 +157,12 @@ def search_block(docs: DataFrame, items: list[tuple[str, str]], window: int, tex
     return map_chunks(docs, one, docs.schema, text=text_col, begin=begin)
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES, unnamed: bool = False) -> DataFrame:
     """documents with hits (numbers of the words inside occurrences, ascending), items (ids of the
-    items with occurring windows, sorted as strings) and n_words."""
+    items with occurring windows, sorted as strings) and n_words. With unnamed, items without an
+    item_id are searched too, and add to the hits alone."""
     ship(documents.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna(subset=["text"] if unnamed else None)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-size // block_bytes) or 1
     out = documents.withColumns({"hits": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)"), "n_words": F.lit(0).cast("long")})
@@ -171,12 +174,12 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a benchmark window, with their own columns."""
-    return keeping(documents, ("hits", "items", "n_words"), lambda d: benchmark_hits(d, benchmark, window).filter(F.size("hits") == 0))
+    return keeping(documents, ("hits", "items", "n_words"), lambda d: benchmark_hits(d, benchmark, window, unnamed=True).filter(F.size("hits") == 0))
 
 
 def decontamination_report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """benchmark_hits as counts and a digest."""
-    found = benchmark_hits(documents.select("doc_id", "text"), benchmark, window)
+    found = benchmark_hits(documents.select("doc_id", "text"), benchmark, window, unnamed=True)
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
