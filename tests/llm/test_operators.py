@@ -320,6 +320,79 @@ def test_pipeline(spark):
     assert {r.doc_id: r.decoded for r in final.collect()} == rows
 
 
+def groups_of_near_duplicates(sets):
+    """The smallest id of each id's component of pairs with a similarity of 0.8 or more."""
+    first = {i: i for i in sets}
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                first[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_pipeline_rows_by_brute_force(spark):
+    """Every stage keeps just the documents and texts that brute force over all rows keeps."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(texts) == docs.count() == 200
+    rows = docs
+
+    def check(name, want):
+        nonlocal rows
+        rows = settle(stages[name](spark, rows, SF), "brute-stage")
+        got = [(r.doc_id, r.text, r.n_chars) for r in rows.collect()]
+        assert sorted(got) == sorted((i, t, len(t)) for i, t in want.items()), name
+        return want
+
+    clear = {r.doc_id for r in language.identify(docs).collect() if r.lang_pred != "und" and not r.ambiguous and r.score >= 0.5}
+    texts = check("language identification", {i: t for i, t in texts.items() if i in clear})
+
+    sites, place = collections.defaultdict(set), {}
+    for i in sorted(texts):
+        for k, line in enumerate(texts[i].split("\n")):
+            if line.strip(" \t\r"):
+                sites[line].add(sources[i])
+                place.setdefault(line, (i, k))
+    common = {line for line, s in sites.items() if len(s) >= 8}
+    kept = {}
+    for i, t in texts.items():
+        lines = t.split("\n")
+        left = [x for k, x in enumerate(lines) if x not in common or place[x] == (i, k)]
+        if len(left) == len(lines) or any(x.strip(" \t\r") for x in left):
+            kept[i] = "\n".join(left)
+    assert kept != texts
+    texts = check("line dedup", kept)
+
+    first = groups_of_near_duplicates({i: grams(t, 5) for i, t in texts.items()})
+    assert any(first[i] != i for i in texts)
+    texts = check("n-gram Jaccard join", {i: t for i, t in texts.items() if first[i] == i})
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    windows = collections.defaultdict(set)
+    for w in (words(t) for _, t in items):
+        if w:
+            windows[min(10, len(w))] |= runs(w, min(10, len(w)))
+    clean = {i: t for i, t in texts.items() if not any(runs(words(t), n) & held for n, held in windows.items())}
+    assert len(clean) < len(texts)
+    texts = check("benchmark decontamination", clean)
+
+    assert sorted((r.doc_id, r.decoded) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(texts.items())
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls, repeated rows, shared ids, columns with the operators' own names, and empty tables."""
     import corpus_pipeline
