@@ -6,13 +6,15 @@ an exact distinct count of sites. A boilerplate line stays at its first place (s
 smallest line number) and goes everywhere else.
 
 Only (doc_id, line number) of lines that go are joined back to their documents, so the texts are
-shuffled once and hot lines are spread by skew-aware joins.
+shuffled once and hot lines are spread by skew-aware joins. What a text is cut into stands behind
+generators, which the optimizer doesn't move expressions through: a text is cut once, whatever is
+asked of the result, and the work is linear in the lines of a text and in those that go.
 
-Defined results: a null text stays null and has no lines; blank lines are never boilerplate; a null
-source is no site; of repeated rows each keeps or loses the same lines; rows that share a doc_id but
+Defined results: a null text stays null and has no lines; very long texts are taken whole; blank lines are
+never boilerplate; places tie by doc_id, then line number; a null source is no site; of repeated rows each keeps or loses the same lines; rows that share a doc_id but
 not a text lose only lines that they have at that place themselves; a row with a null doc_id loses
 nothing; an empty table gives an empty result; the other columns of the input are kept as they are,
-but that n_lines and n_removed are replaced. Equality of lines is that of 64-bit hashes.
+but that n_lines, n_removed and n_left are replaced. Equality of lines is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from tidemark.runtime import settle
 MIN_SITES = 8
 #: 2 ** LG_K registers in a sketch; its relative error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 10
+NOT_BLANK = r"[^ \t\r]"
 #: Estimates within this factor of the threshold are counted exactly.
 BAND = 2.0
 
@@ -33,7 +36,7 @@ BAND = 2.0
 def lines_of(df: DataFrame) -> DataFrame:
     """doc_id, site, place and line hash of each line that isn't blank."""
     rows = df.select("doc_id", F.col("source").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return rows.filter(F.regexp_like("line", F.lit(r"[^ \t\r]"))).select("doc_id", "site", "place", F.xxhash64("line").alias("line"))
+    return rows.filter(F.regexp_like("line", F.lit(NOT_BLANK))).select("doc_id", "site", "place", F.xxhash64("line").alias("line"))
 
 
 def boilerplate(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -49,22 +52,27 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """df with text without the boilerplate lines that go, and n_lines and n_removed."""
+    """df with text without the boilerplate lines that go, n_lines, n_removed and n_left (lines that
+    aren't blank of what is left)."""
     found = boilerplate(df, min_sites)
     gone = lines_of(df).join(found, "line").filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.array_sort(F.collect_set(F.struct("place", "line"))).alias("_gone"))
-    rows = df.join(gone, df["doc_id"] == F.col("_gone_id"), "left").withColumn("_lines", F.split("text", "\n", -1))
-    # Places where this row has that line: another row of the same doc_id may have another text.
+    rows = df.join(gone, df["doc_id"] == F.col("_gone_id"), "left").select(*[df[c] for c in df.columns], "_gone", F.explode(F.array(F.split("text", "\n", -1))).alias("_lines"))
     lines = F.col("_lines")
+    # Places where this row has that line: another row of the same doc_id may have another text.
     held = F.filter("_gone", lambda g: F.xxhash64(F.get(lines, g["place"])) == g["line"])
-    rows = rows.withColumn("_gone", F.transform(held, lambda g: g["place"]))
-    bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
+    places = F.coalesce(F.transform(held, lambda g: g["place"]), F.array().cast("array<int>"))
+    rows = rows.withColumn("_bounds", F.explode(F.array(F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines)))))).drop("_gone")
     # The runs of lines between those that go.
-    runs = F.transform(F.sequence(F.lit(1), F.size("_gone") + 1), lambda k: F.slice(lines, F.get(bounds, k - 1) + 2, F.get(bounds, k) - F.get(bounds, k - 1) - 1))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    bound = lambda k: F.get("_bounds", k)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_bounds") - 1), lambda k: F.slice(lines, bound(k - 1) + 2, bound(k) - bound(k - 1) - 1))
+    left = F.when(F.size("_bounds") == 2, lines).otherwise(F.flatten(runs))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    return rows.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}).drop("_gone", "_gone_id", "_lines")
+    n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_bounds") - 2).cast("long")
+    rows = rows.withColumns({"n_lines": n_lines, "n_removed": n_removed}).withColumn("_left", F.explode(F.array(left)))
+    n_left = F.coalesce(F.size(F.filter("_left", lambda x: F.regexp_like(x, F.lit(NOT_BLANK)))), F.lit(0)).cast("long")
+    rows = rows.withColumns({"n_left": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_left), "text": F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("_left", "\n"))})
+    return rows.drop("_bounds", "_lines", "_left")
 
 
 def line_report(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
