@@ -33,11 +33,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows without a doc_id lose nothing and stay."""
 
     def kept(rows: DataFrame) -> DataFrame:
-        out = line_dedup.dedup_lines(rows)
-        out = out.filter((F.col("n_removed") == 0) | F.regexp_like("text", F.lit(r"[^ \t\r\n]")))
+        out = line_dedup.dedup_lines(rows).filter("n_removed = 0 or n_left > 0")
         return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
-    return keeping(docs, ("n_lines", "n_removed"), kept)
+    return keeping(docs, ("n_lines", "n_removed", "n_left"), kept)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +47,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     their texts do, or all of them stay if one does. Rows without a doc_id can't be told apart: all
     stay, unless each of them has a near duplicate with a doc_id. Texts without words have none."""
     groups = ngram_jaccard.near_duplicate_components(docs, n=5, num=80, den=100)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first_id")).agg(F.count(F.lit(1)).alias("n"))
-    first = settle(first, "first-of-group")
-    once, again = first.filter("n = 1"), first.filter("n > 1")
-    rows_of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    if again.isEmpty():
-        return rows_of(first)
-    return rows_of(once).unionByName(rows_of(again).dropDuplicates())
+    firsts = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n")
+    counts = groups.groupBy(F.col("doc_id").alias("of_id")).agg(firsts).filter("n <> 1")
+    # Ids that go, and ids of several rows that stay: both are few, so the texts needn't move for them.
+    counts = settle(counts, "not-first-of-group")
+    same = docs["doc_id"].cast("long").eqNullSafe(counts["of_id"])
+    once = docs.join(counts, same, "left_anti")
+    again = counts.filter("n > 1")
+    return once if again.isEmpty() else once.unionByName(docs.join(again, same, "left_semi").dropDuplicates())
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
