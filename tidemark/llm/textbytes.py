@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 #: Odd multiplier of the rolling hash; 3 modulo 4, so that neighbours that swap places differ.
 BASE = 0x9E3779B97F4A7C17
 U64 = np.uint64
+#: Bytes that are hashed at once, whatever the length of a text.
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +66,6 @@ class TextBytes:
             table = np.arange(256, dtype=np.uint8)
             table[65:91] += 32
             self.data = table[self.data]
-        self._sums = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -83,12 +84,46 @@ class TextBytes:
         return starts, ends, np.searchsorted(self.ends, starts, side="right")
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each range."""
-        power, inverse = powers(len(self.data))
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(byte_values()[self.data] * power[: len(self.data)], out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * inverse[starts])
+        """A 64-bit hash of the bytes of each range; ranges come in order and don't overlap. It is done
+        block by block, so that what it needs beside the text is bounded."""
+        out = np.empty(len(starts), np.uint64)
+        long = np.flatnonzero(ends - starts > BLOCK)
+        a = 0
+        while a < len(starts):
+            base = starts[a]
+            next_long = long[np.searchsorted(long, a)] if len(long) and a <= long[-1] else len(starts)
+            if next_long == a:
+                out[a] = self.long_sum(int(starts[a]), int(ends[a]))
+                a += 1
+                continue
+            b = min(int(np.searchsorted(starts, base + BLOCK)), int(next_long))
+            stop = ends[b - 1]
+            power, inverse = powers(2 * BLOCK)
+            sums = np.zeros(stop - base + 1, np.uint64)
+            np.cumsum(byte_values()[self.data[base:stop]] * power[: stop - base], out=sums[1:])
+            out[a:b] = (sums[ends[a:b] - base] - sums[starts[a:b] - base]) * inverse[starts[a:b] - base]
+            a = b
+        return mix(out)
+
+    def long_sum(self, start: int, end: int) -> int:
+        total, power = 0, powers(2 * BLOCK)[0]
+        for k in range(start, end, BLOCK):
+            part = byte_values()[self.data[k : min(k + BLOCK, end)]]
+            total += int((part * power[: len(part)]).sum(dtype=np.uint64)) * pow(BASE, k - start, 1 << 64)
+        return total % (1 << 64)
+
+
+def equal_ranges(x: np.ndarray, x_starts: np.ndarray, x_ends: np.ndarray, y: np.ndarray, y_starts: np.ndarray, y_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each range of x are those of the range of y of the same number."""
+    size = x_ends - x_starts
+    same = size == y_ends - y_starts
+    at = np.flatnonzero(same & (size > 0))
+    if len(at):
+        size = size[at]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        same[at] = np.logical_and.reduceat(x[np.repeat(x_starts[at], size) + step] == y[np.repeat(y_starts[at], size) + step], first)
+    return same
 
 
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
