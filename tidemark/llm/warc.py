@@ -9,13 +9,17 @@ Bundles are rows of a Parquet table in a folder that all executors share: (bundl
 index). They are committed by Spark's writer, so a task that is lost is written anew, whole or not at
 all. A bundle is closed at BUNDLE_BYTES, a frame at FRAME_BYTES, so a task holds one bundle.
 
-Of records with equal payloads of at least 100 bytes, that with the smallest page_id is the
-response; the others are revisit records that name it and carry no payload.
-
-Defined results: a null html is an empty payload; smaller payloads are all responses; rows that
-repeat the smallest page_id are all responses; a row with a null page_id revisits another only if
-one with a page_id has the payload; an empty table gives an empty result; further columns are
-ignored. A payload of any length has its own frame where it exceeds FRAME_BYTES.
+A response's block is an HTTP head and the payload. Of records with equal payloads of at least 100
+bytes, that with the smallest page_id is the response; the others are revisit records that name it and
+carry no payload. Record identifiers are made of page_id, digest and url, and of a number for rows that
+repeat all three, so they are unique, and the same in every run.
+
+Defined results: a null html is an empty payload and a null url an empty one; smaller payloads are all
+responses; of rows with the smallest page_id the one with the least url is the response, and of rows
+that repeat that too just one is (the SQL, which is for unique page ids, calls all of them responses);
+a row with a null page_id revisits another only if one with a page_id has the payload; an empty table
+gives an empty result; further columns are ignored. A very long payload has a frame of its own where it
+exceeds FRAME_BYTES.
 """
 
 from __future__ import annotations
@@ -42,17 +46,21 @@ READ_SCHEMA = "page_id long, record_id string, url string, payload_bytes long, p
 CAPTURED = "1970-01-01T00:00:00Z"
 
 
-def record(record_id: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def identifier(page_id: int | None, digest: str, url: str, number: int = 1) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest} {url}" + (f" {number}" if number > 1 else "")))
+
+
+def record(record_id: str, page_id: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     """One WARC record, headers and block. A revisit has an empty block."""
     revisit = refers_to is not None
     headers = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {CAPTURED}",
-        f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}",
     ]
     if revisit:
-        headers += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
-    block = b"" if revisit else payload
-    headers += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
+        headers += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{identifier(refers_to, digest, refers_url)}>", f"WARC-Refers-To-Target-URI: {clean(refers_url)}", f"WARC-Refers-To-Date: {CAPTURED}", f"X-Refers-To-Page-Id: {refers_to}"]
+    block = b"" if revisit else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
+    headers += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(headers).encode() + block + b"\r\n\r\n"
 
 
@@ -141,15 +149,32 @@ class Reader:
 
 
 def with_referrals(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and refers_to. The least page_id of each payload is found by
-    partial aggregation; small payloads have keys of their own, so they meet in no group."""
+    """page_id, url, payload, size, digest, number, refers_to and refers_url of each record; a revisit
+    has no payload. The least page_id of each payload is found by partial aggregation; small payloads
+    have keys of their own, so they meet in no group. Rows equal in page_id, digest and url are counted,
+    and written as many times."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = F.octet_length("payload") >= MIN_REVISIT_BYTES
-    first = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("first_id").isNotNull())
-    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    joined = rows.withColumn("key", key).join(first.select(F.col("digest").alias("key"), "first_id"), "key", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
+    key = ["digest", "page_id", "url"]
+    counted = rows.groupBy(F.unhex("digest").alias("sha"), "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    least = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("least")
+    first = counted.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("sha").agg(least, F.sum("n").alias("total")).filter("total > 1 and least.page_id is not null")
+    first = settle(first.select(F.lower(F.hex("sha")).alias("key"), F.col("least.page_id").alias("first_id"), F.col("least.url").alias("first_url")), "first-pages")
+    again = settle(counted.filter("n > 1").select(F.lower(F.hex("sha")).alias("digest"), "page_id", "url", "n"), "repeated-pages")
+    rows = rows.withColumn("number", F.lit(1).cast("long"))
+    if not again.isEmpty():
+        same = [rows["digest"] == again["digest"], rows["page_id"].eqNullSafe(again["page_id"]), rows["url"] == again["url"]]
+        one = rows.drop("number").join(again.drop("n"), same, "left_semi").groupBy(*key).agg(F.first("payload").alias("payload"), F.first("size").alias("size"))
+        both = [one["digest"] == again["digest"], one["page_id"].eqNullSafe(again["page_id"]), one["url"] == again["url"]]
+        # Numbers from 2 on keep the payload only where it is small; a large one's are revisits.
+        one = one.join(again, both).select(*[one[c] for c in one.columns], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("number"))
+        rows = rows.join(again.drop("n"), same, "left_anti").unionByName(one)
+    key = F.when(F.col("size") >= MIN_REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("small-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    joined = rows.withColumn("key", key).join(first, "key", "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")) & (F.col("number") == 1)
+    named = lambda c: F.when(~is_first, F.col(c))
+    joined = joined.withColumns({"refers_to": named("first_id"), "refers_url": named("first_url")})
+    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "number", "refers_to", "refers_url")
 
 
 def write_bundles(pages: DataFrame) -> DataFrame:
@@ -164,12 +189,12 @@ def write_bundles(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([uuid.UUID(bytes=hashlib.sha256(data).digest()[:16]).hex]), pa.array([data], pa.binary()), pa.array([bundle.index], schema.field("index").type)], schema=schema)
 
         for batch in batches:
-            page, url, digest, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            page, url, size, digest, number, refers, refers_url = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7))
             for i in range(batch.num_rows):
                 payload = batch.column(2)[i].as_py()
-                record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page[i]} {digest[i]} {url[i]}"))
+                record_id = identifier(page[i], digest[i], url[i], number[i])
                 bundle = bundle or Bundle()
-                bundle.add(record_id, page[i], record(record_id, page[i], url[i], payload, digest[i], refers[i]))
+                bundle.add(record_id, page[i], record(record_id, page[i], url[i], payload, size[i], digest[i], refers[i], refers_url[i]))
                 if bundle.written + bundle.held >= BUNDLE_BYTES:
                     yield done()
                     bundle = None
@@ -191,6 +216,7 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
                     headers, block = parse(reader.record(x["frame"], x["offset"], x["length"]))
                     digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"]
                     size = int(headers["X-Payload-Length"])
+                    block = block.partition(b"\r\n\r\n")[2]
                     if kind == "response" and (len(block) != size or hashlib.sha256(block).hexdigest() != digest):
                         raise ValueError(f"record {x['record_id']} doesn't have its digest")
                     page, refers = headers["X-Page-Id"], headers.get("X-Refers-To-Page-Id")
