@@ -435,3 +435,166 @@ def test_language_counts_do_not_depend_on_blocks(monkeypatch):
     for block in (1, 2, 3, 7, 64):
         monkeypatch.setattr(language, "BLOCK", block)
         assert (language.ngram_counts(texts) == whole).all()
+
+
+def test_warc_of_repeated_rows(spark):
+    """Every record has an identifier of its own; of equal rows one is the response."""
+    big = "<html>" + "y" * 300
+    rows = [(1, "http://a", "small")] * 2 + [(2, "http://b", big)] * 3 + [(2, "http://a", big), (7, "http://c", big), (8, "http://d", "z" * 200)] + [(None, "http://n", big)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bundles = settle(warc.write_bundles(pages), "test-warc")
+    got = warc.read_bundles(bundles).collect()
+    assert len({r.record_id for r in got}) == len(rows) == len(got)
+    assert sorted((r.page_id, r.url) for r in got if r.record_type == "response") == [(1, "http://a"), (1, "http://a"), (2, "http://a"), (8, "http://d")]
+    assert {(r.refers_to, r.payload) for r in got if r.record_type == "revisit"} == {(2, b"")} and all(r.payload_bytes == len(big) for r in got if r.record_type == "revisit")
+    again = settle(warc.write_bundles(pages.repartition(2)), "test-warc")
+    assert {r.record_id for r in warc.read_bundles(again).collect()} == {r.record_id for r in got}
+
+
+def test_warc_files(spark, tmp_path):
+    """Exported files are plain .warc.zst: any reader of Zstandard finds WARC records with HTTP heads."""
+    import zstandard
+
+    rows = [(i, f"http://{i}", f"<p>{i}</p>" * 50 * (i % 3)) for i in range(40)]
+    bundles = settle(warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string")), "test-warc")
+    files = [r.file for r in warc.export_bundles(bundles, f"file://{tmp_path}/out").collect()]
+    found = {}
+    for f in files:
+        data = open(f, "rb").read()
+        assert warc.Reader(data).frame(0).startswith(b"WARC/1.1\r\n")
+        rest = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+        while rest:
+            head, _, after = rest.partition(b"\r\n\r\n")
+            size = int(re.search(rb"Content-Length: (\d+)", head).group(1))
+            headers, block = warc.parse(rest[: len(head) + 4 + size + 4])
+            rest = after[size + 4 :]
+            found[int(headers["X-Page-Id"])] = block
+            assert headers["WARC-Type"] == "revisit" or block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert found[1].endswith(b"\r\n\r\n" + rows[1][2].encode()) and len(found) == 40
+
+
+def test_language_by_brute_force(spark):
+    """Counts, weights and decoding, written out plainly, give the same predictions and scores."""
+    import math
+    import zlib
+
+    rng = random.Random(8)
+    words = {"xx": ["aba", "bab", "abba"], "yy": ["cdc", "dcd", "bcd"], "zz": ["efe", "aef", "fef"]}
+    texts = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i, lang in enumerate(rng.choices(list(words), k=90))]
+    texts += [(200, "aba cdc", None), (201, None, "xx"), (202, "12 3", "yy"), (203, "é", "zz"), (203, "é", "zz")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    B, K = language.BUCKETS, len(language.ORDERS)
+
+    def counts(text):
+        data, out = text.lower().encode(), collections.Counter()
+        for k, n in enumerate(language.ORDERS):
+            for a in range(len(data) - n + 1):
+                out[k * B + (int.from_bytes(data[a : a + n], "big") * 0x9E3779B1 % (1 << 32) >> 20)] += 1
+        return out
+
+    learned = collections.defaultdict(lambda: [0.0] * (B * K))
+    for i, text, lang in texts:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            c = counts(text)
+            for b, x in c.items():
+                learned[lang][b] += 1000 * x / max(sum(c.values()), 1)
+    langs = sorted(learned)
+    rates = {lang: [] for lang in langs}
+    for lang in langs:
+        for k in range(K):
+            part = [x + 0.5 for x in learned[lang][k * B : (k + 1) * B]]
+            total = sum(part)
+            rates[lang] += [x / total for x in part]
+    code = {lang: [1 if (s >> n) & 1 else -1 for s in range(1, 1 << (len(langs) - 1))] for n, lang in enumerate(langs)}
+    n_bits = len(code[langs[0]])
+
+    def mean(bit, sign, b):
+        held = [rates[x][b] for x in langs if code[x][bit] == sign]
+        return sum(held) / len(held)
+
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    for i, text, _ in texts:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        c = counts(text)
+        value = [sum(x * math.log(mean(bit, 1, b) / mean(bit, -1, b)) for b, x in c.items()) * language.SCALE / max(sum(c.values()), 1) for bit in range(n_bits)]
+        loss = [sum(math.log1p(math.exp(-v * s)) for v, s in zip(value, code[x], strict=True)) for x in langs]
+        p = [math.exp(min(loss) - x) for x in loss]
+        assert got[i].lang_pred == langs[loss.index(min(loss))] and abs(got[i].score - max(p) / sum(p)) < 1e-6
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_language_ties_go_to_the_first_language():
+    model = language.Model(["aa", "bb"], np.ones((2, language.BUCKETS * len(language.ORDERS))))
+    best, score, unclear = model.decode(np.ones((1, language.BUCKETS * len(language.ORDERS))))
+    assert best.tolist() == [0] and score.tolist() == [0.5] and unclear.tolist() == [True]
+
+
+def test_decontamination_compares_words(monkeypatch):
+    """Hashes that all clash change nothing but the time."""
+    from tidemark.llm.textbytes import ALNUM_WORDS, TextBytes
+
+    rng = random.Random(2)
+    word = lambda: rng.choice("ab bc é the 12 x9 abc".split())
+    items = [(str(i), " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 4, 5, 9])]
+    docs = [" ".join(word() for _ in range(n)) for n in (0, 3, 40, 200)]
+    monkeypatch.setattr(TextBytes, "hashes", lambda self, starts, ends: np.full(len(starts), 7, np.uint64))
+    block, texts = decontaminate.Block(items, 4), TextBytes(pa.array(docs), lower=True)
+    starts, ends, doc = texts.words(ALNUM_WORDS)
+    first = np.searchsorted(doc, np.arange(len(docs) + 1))
+    hits, who = [set() for _ in docs], [set() for _ in docs]
+    for m, at, item in block.search(texts, starts, ends, texts.hashes(starts, ends), doc):
+        for a, i in zip(at.tolist(), item.tolist(), strict=True):
+            hits[doc[a]] |= set(range(a - first[doc[a]], a - first[doc[a]] + m))
+            who[doc[a]].add(block.ids[i])
+    assert [(int(first[d + 1] - first[d]), sorted(hits[d]), sorted(who[d])) for d in range(len(docs))] == brute_hits(docs, items, 4)
+
+
+def test_decontamination_tables_are_bounded():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(100))) for i in range(500)]
+    assert decontaminate.Block(items, 10).nbytes < 14 * sum(len(t) for _, t in items) + (1 << 17)
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    from tidemark.llm import textbytes
+
+    texts = textbytes.TextBytes(pa.array(["ab c", "", "x" * 100 + " y", "ab " * 50, "zz"]))
+    starts, ends, _ = texts.words(textbytes.BLANK_WORDS)
+    whole = texts.hashes(starts, ends)
+    assert len(set(whole.tolist())) == 5
+    for block in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(textbytes, "BLOCK", block)
+        textbytes.forget()
+        assert (texts.hashes(starts, ends) == whole).all()
+    textbytes.forget()
+
+
+ODD = [None, "", "a", "twin text of some words here", "twin text of some words here", "LONG " * 200_000, "<|endoftext|>"]
+
+
+def test_odd_tables(spark):
+    """Empty tables, repeated rows (also of one doc_id) and very long texts, in every operator."""
+    path = catalog.tokenizer_path
+    import public_tokenizers
+
+    bench = spark.createDataFrame([(1, "nothing of this occurs anywhere at all in any of those texts")], "item_id long, text string")
+    model = language.Model(["aa", "bb"], np.random.default_rng(1).random((2, language.BUCKETS * len(language.ORDERS))))
+    ops = {
+        "op1": lambda d: token_counts.count_tokens(d, path("byte_bpe_50k.json"), public_tokenizers.PATTERN), "op2": ngram_jaccard.near_duplicate_components, "op3": line_dedup.line_report, "op5": quality.quality_report,
+        "op6": lambda d: decontaminate.decontamination_report(d, bench), "op8": licences.scan_licences, "op9": lambda d: pieces.encode_digests(d, path("piece_bpe_32k.model")), "op10": lambda d: language.identify(d, model),
+    }
+    ids = [5, 5, 5, 7, 7, 8, None]
+    docs = documents(spark, ODD, ids)
+    for name, op in ops.items():
+        assert op(docs.limit(0)).count() == 0, name
+        rows = op(docs).collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == sorted(-1 if i is None else i for i in ids), name
+        twins = [r for r in rows if r.doc_id == 7]
+        assert twins[0] == twins[1], name
+    assert language.identify(docs).count() == len(ODD)
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "x|<" * 300_000)], "conv_id long, turn long, role string, text string")
+    got = chat.chat_digests(turns).first()
+    assert got.n_turns == 3 and got.loss_chars == 900_000 and got.loss_sha256 == hashlib.sha256(b"x|<" * 300_000).hexdigest()

@@ -13,8 +13,9 @@ text.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing could
 be learned; a null doc_id counts as the empty text for the fold; repeated rows are predicted each;
-rows with a null language or text teach nothing; an empty table gives an empty result; further
-columns are ignored.
+rows with a null language or text teach nothing; codewords at equal loss tie, which flags the text as
+ambiguous and gives it the first language in the order of names; very long texts are counted whole, in
+blocks; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
