@@ -46,13 +46,13 @@ def test_newer_than_mark(spark):
 
 def test_rules(spark):
     row = spark.range(1).select(S.history_years(F.lit("5m")), S.history_years(F.lit("?")), S.refresh_seconds(F.lit("?")), S.beijing_to_utc_millis(F.lit(5)), S.filled("{a} {b}", a=F.lit("$1"), b=F.lit(None)), C.fund_error(F.lit(1)))
-    assert tuple(row.first()) == (0.5, 2.0, 3600, 0, "$1 N/A", "")
+    assert tuple(row.first()) == (0.5, 2.0, 60, 0, "$1 N/A", "")
 
 
 def test_messages_of_all_orders(spark):
     """Every order has its row, those up to the year 2000 with 0."""
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    rows = catalog.QUERIES["messages_of_all_orders"](spark, "/root/testdata/sf0.001").collect()
+    rows = catalog.QUERIES["messages"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == orders.count() == 1500
     zero = [r for r in rows if r.from_seconds == 0]
     assert len(zero) == 1161 and all(r.from_millis == 0 and r.message.endswith(f"#{r.o_orderkey}") for r in zero)
@@ -66,7 +66,7 @@ def test_symbols_with_total_volume(spark):
     """Every customer counts; symbols without a ticker or without volume go."""
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").toPandas()
     want = customers.assign(vol=customers.c_acctbal.round().clip(lower=0)).groupby("c_nationkey").vol.sum()
-    got = {r.n_nationkey: r.vol for r in catalog.QUERIES["symbols_with_total_volume"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r.n_nationkey: r.vol for r in catalog.QUERIES["symbols_with_volume"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: v for k, v in want.items() if v}
     symbols = spark.createDataFrame([("BTC",), ("ETH",), ("ADA",), ("SOL",), ("XRP",)], "symbol string")
     tickers = spark.createDataFrame([("btc", 2.0), ("Eth", 0.0), ("ada", None), ("xrp", -1.0), ("dot", 3.0)], "symbol string, vol double")

@@ -2,21 +2,23 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
 from tidemark.operators import relational as R
-from tidemark.operators.recursive import one_series, recursive_indicators
+from tidemark.operators.recursive import affine_indicators, supertrend
+from tidemark.operators.strategy import exits
 from tidemark.streaming.ingest import apply_delta
 
-SCHEMA = "instrument string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+SCHEMA = "instrument string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
 
 def bars(spark, closes, gap=1):
     t = dt.datetime(2024, 1, 1)
-    return spark.createDataFrame([("x", t + dt.timedelta(days=i * gap), c, c, c, c, 1.0) for i, c in enumerate(closes)], SCHEMA)
+    return spark.createDataFrame([("x", "1d", t + dt.timedelta(days=i * gap), c, c, c, c, 1.0) for i, c in enumerate(closes)], SCHEMA)
 
 
 @pytest.mark.parametrize(("closes", "want"), [([5.0] * 16, None), ([float(i) for i in range(1, 17)], 100.0), ([float(30 - i) for i in range(16)], 0.0)])
@@ -42,13 +44,58 @@ def test_displacement_uses_the_first_gap(spark):
 
 def test_recurrences_match_their_definition(spark):
     closes = [float(10 + (i * 7) % 5) for i in range(40)]
-    got = recursive_indicators(bars(spark, closes)).orderBy("ts").toPandas()
+    got = affine_indicators(bars(spark, closes)).orderBy("ts").toPandas()
     y = [closes[0]]
     for x in closes[1:]:
         y.append(y[-1] + 0.2 * (x - y[-1]))
     assert got["ema9"].tolist() == pytest.approx(y)
     assert got["kama10"].isna().sum() == 10 and (got["macd_hist"] - (got["macd"] - got["macd_signal"])).abs().max() == 0
-    assert len(one_series(pd.DataFrame({"instrument": [], "ts": [], "high": [], "low": [], "close": []}))) == 0
+    assert affine_indicators(bars(spark, [])).isEmpty() and supertrend(bars(spark, [])).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 30])
+def test_recurrences_do_not_depend_on_chunks(spark, chunk):
+    """Series of several timeframes, cut into chunks, give what each gives in one piece."""
+    rng = np.random.default_rng(chunk)
+    rows, t = [], dt.datetime(2024, 1, 1)
+    for name, timeframe, n in (("x", "1d", 90), ("x", "1w", 40), ("y", "1d", 11), ("z", "1d", 1)):
+        close = 100 + np.cumsum(rng.normal(0, 3, n))
+        rows += [(name, timeframe, t + dt.timedelta(days=int(i * (7 if timeframe == "1w" else 1) + (i > 50) * 200)), c, c + 2, c - 1.5, c, 1.0) for i, c in enumerate(close.tolist())]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for f in (affine_indicators, supertrend):
+        one, cut = (f(df, chunk=k).orderBy("instrument", "timeframe", "ts").toPandas() for k in (10_000, chunk))
+        assert len(one) == len(rows)
+        pd.testing.assert_frame_equal(one, cut, rtol=1e-9)
+    alone = affine_indicators(df.filter("instrument = 'x' and timeframe = '1w'")).orderBy("ts").toPandas()
+    both = affine_indicators(df).filter("instrument = 'x' and timeframe = '1w'").orderBy("ts").toPandas()
+    pd.testing.assert_frame_equal(alone, both)
+    plain = pd.Series([r[6] for r in rows if r[:2] == ("x", "1w")])
+    assert both["ema9"].tolist() == pytest.approx(plain.ewm(span=9, adjust=False).mean().tolist())
+    macd = plain.ewm(span=12, adjust=False).mean() - plain.ewm(span=26, adjust=False).mean()
+    assert both["macd_signal"].tolist() == pytest.approx(macd.ewm(span=9, adjust=False).mean().tolist())
+
+
+def test_timeframes_are_not_mixed(spark):
+    """Windows over a table of two timeframes are those of each alone."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("x", f, t + dt.timedelta(days=i * k), *[float(i * k)] * 4, 1.0) for f, k in (("1d", 1), ("1w", 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for f, k in (("1d", 1), ("1w", 7)):
+        got = ind.rolling_indicators(df).filter(F.col("timeframe") == f).orderBy("ts").toPandas()
+        assert got["sma9"].dropna().tolist() == [float(k * (i + 4)) for i in range(22)]
+        shown = {(r.metric, r.ts): r.value for r in ind.displaced_averages(df).filter(F.col("timeframe") == f).collect()}
+        assert shown["DMA_3x3", t + dt.timedelta(days=5 * k)] == float(k) and len(shown) == 28 + 24 + 6
+    assert {(r.timeframe, r["count"]) for r in ind.last_rows(df, 5).groupBy("timeframe").count().collect()} == {("1d", 5), ("1w", 5)}
+
+
+def test_exits_inside_a_trade(spark):
+    t = dt.datetime(2024, 1, 1)
+    bar = lambda i, low, high, c: ("x", "1d", t + dt.timedelta(days=i), c, float(high), float(low), c, 1.0)
+    df = spark.createDataFrame([bar(0, 100, 100, 100.0), bar(1, 99.5, 103, 100.0), bar(2, 90, 101, 95.0), bar(3, 95, 95, 95.0), bar(4, 90, 99, 95.0), bar(5, 95, 95.5, 95.0), bar(6, 95, 95, 95.0)], SCHEMA)
+    crosses = spark.createDataFrame([("x", "1d", t + dt.timedelta(days=d), p, s) for d, p, s in ((0, 100.0, 1), (3, 95.0, -1), (5, 95.0, 1), (6, 95.0, -1))], "instrument string, timeframe string, ts timestamp_ntz, close double, side int")
+    got = {(r.ts - t).days: ((r.exit_ts - t).days, r.exit_kind) for r in exits(df, crosses).collect()}
+    assert got == {0: (1, "target"), 3: (4, "stop"), 5: (6, "signal")}
+    assert {(r.ts - t).days: r.exit_kind for r in exits(df, crosses, stop=None).collect()} == {0: "target", 3: "target", 5: "signal"}
 
 
 def test_insert_is_idempotent_and_upsert_takes_the_newest(spark):
@@ -68,7 +115,7 @@ def test_levels_round_half_to_even(spark):
 def test_as_of_takes_the_latest_at_or_before(spark):
     left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 9.0), ("a", 5, 7.0)], "k string, t int, v double")
-    assert {(r.k, r.t): r.v for r in R.as_of(left, right, "k", "t", "v").collect()} == {("a", 1): None, ("a", 5): 7.0, ("b", 5): None}
+    assert {(r.k, r.t): r.v for r in R.as_of(left, right, ["k"], "t", "v").collect()} == {("a", 1): None, ("a", 5): 7.0, ("b", 5): None}
 
 
 def test_book_gap_and_removal():

@@ -1,4 +1,5 @@
-"""Window expressions over a series, gated so that a value appears only after a full warm-up."""
+"""Window expressions over a series, gated so that a value appears only after a full warm-up. A series is
+what has one instrument and one timeframe."""
 
 from __future__ import annotations
 
@@ -6,12 +7,19 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def series():
-    return Window.partitionBy("instrument").orderBy("ts")
+KEY = ("instrument", "timeframe")
 
 
 def whole():
-    return Window.partitionBy("instrument")
+    return Window.partitionBy(*KEY)
+
+
+def series():
+    return whole().orderBy("ts")
+
+
+def newest_first():
+    return whole().orderBy(F.col("ts").desc())
 
 
 def last(n: int):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,13 +90,22 @@ def history_years(code: Column) -> Column:
     return looked_up(code, HISTORY_YEARS, 2.0)
 
 
-def refresh_seconds(code: Column, otherwise: int = 3600) -> Column:
+# Days that an update goes back at most, by timeframe; others a year.
+BACKFILL_DAYS = {"1m": 7, "3m": 7, "5m": 7, "15m": 30, "30m": 30, "1h": 90, "2h": 90}
+
+
+def backfill_days(code: Column) -> Column:
+    return looked_up(code, BACKFILL_DAYS, 365)
+
+
+def refresh_seconds(code: Column, otherwise: int = 60) -> Column:
     return looked_up(code, REFRESH_SECONDS, otherwise)
 
 
 def beijing_to_utc_millis(x: Column) -> Column:
     """UTC milliseconds of an epoch on the clock eight hours ahead, in seconds or milliseconds; 0 for
     one before the year 2000."""
+    # The year 2000 on that clock, and its distance in seconds.
     first, ahead = 946_656_000, 8 * 3600
     return F.when(x > first * 1000, x - ahead * 1000).when((x > first) & (x < first * 1000), (x - ahead) * 1000).otherwise(F.lit(0).cast("long"))
 
@@ -112,8 +123,7 @@ def beijing_millis_to_utc_millis(x: Column) -> Column:
 
 
 def filled(template: str, **values: Column) -> Column:
-    """A message template with {name} in it, filled from columns; a missing value shows as N/A."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("N/A")))
-    return out
+    """A message template with {name} in it, filled from columns in one go, so that braces in a value
+    stay as they are; a missing value shows as N/A."""
+    parts = [F.coalesce(values[p[1:-1]].cast("string"), F.lit("N/A")) if p[1:-1] in values and p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template)]
+    return F.concat(*parts)

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rolling import KEY
+from tidemark.functions.scalars import refresh_seconds
+
 
 def first_nonempty(sources: list[DataFrame], key: str) -> DataFrame:
     """For each key the rows of the first source that has any, with the source's number."""
@@ -28,12 +31,11 @@ def mean_gap(bars: DataFrame, key: str, ts: str) -> DataFrame:
     return bars.groupBy(key).agg(F.try_divide(span, F.count(ts) - 1).alias("mean_gap"))
 
 
-def due(last: DataFrame, timeframes: DataFrame, now: DataFrame) -> DataFrame:
-    """Series and timeframes whose last bar is a whole timeframe old: last(instrument, last_ts), the
-    fixed table of timeframes as one array, and now(now) of one row."""
+def due(last: DataFrame, now: DataFrame) -> DataFrame:
+    """Series whose last bar is at least a refresh interval of their timeframe old:
+    last(instrument, timeframe, last_ts) and now(now) of one row. A series without a bar is due."""
     age = F.unix_seconds(now.select("now").scalar().cast("timestamp")) - F.unix_seconds(F.col("last_ts").cast("timestamp"))
-    every = timeframes.agg(F.collect_list(F.struct("code", "seconds"))).scalar()
-    return last.select("instrument", age.alias("age"), F.inline(every)).filter(F.col("age") >= F.col("seconds")).select("instrument", "code")
+    return last.filter(F.col("last_ts").isNull() | (age >= refresh_seconds(F.col("timeframe")))).select(*KEY)
 
 
 def shapes(points: DataFrame) -> DataFrame:

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rolling import KEY, newest_first, whole
+
 PRICES = ("open", "high", "low", "close")
 
 
 def valid_series(bars: DataFrame) -> DataFrame:
     """Rows without a null, of series without any price at or below zero."""
     rows = bars.na.drop("any")
-    least = F.min(F.least(*PRICES)).over(Window.partitionBy("instrument"))
+    least = F.min(F.least(*PRICES)).over(whole())
     return rows.withColumn("least", least).filter("least > 0").drop("least")
 
 
 def decimated(bars: DataFrame, most: int = 500) -> DataFrame:
     """At most so many bars of a series, evenly spaced, counted back from the newest one."""
-    newest = Window.partitionBy("instrument").orderBy(F.col("ts").desc())
-    rows = bars.withColumns({"back": F.row_number().over(newest) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("instrument"))})
+    rows = bars.withColumns({"back": F.row_number().over(newest_first()) - 1, "n": F.count(F.lit(1)).over(whole())})
     step = F.ceil(F.col("n") / most)
     return rows.filter(F.col("back") % step == 0).drop("back", "n")
 
@@ -27,14 +28,13 @@ def candle_shapes(bars: DataFrame) -> DataFrame:
     """Colour and body height of each candle."""
     from tidemark.functions.scalars import body
 
-    w = Window.partitionBy("instrument")
-    rows = bars.withColumn("whole", F.max("high").over(w) - F.min("low").over(w))
+    rows = bars.withColumn("whole", F.max("high").over(whole()) - F.min("low").over(whole()))
     rising = F.when(F.col("close") >= F.col("open"), "bull").otherwise("bear")
-    return rows.select("instrument", "ts", rising.alias("colour"), body(*map(F.col, PRICES), F.col("whole")).alias("body"))
+    return rows.select(*KEY, "ts", rising.alias("colour"), body(*map(F.col, PRICES), F.col("whole")).alias("body"))
 
 
 def in_range_or_all(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Points within the first and last bar of their series; all of them where none lies there."""
-    rows = points.join(ranges, "instrument").withColumn("inside", F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
-    n = F.count_if("inside").over(Window.partitionBy("instrument", "metric"))
+    rows = points.join(ranges, list(KEY)).withColumn("inside", F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
+    n = F.count_if("inside").over(Window.partitionBy(*KEY, "metric"))
     return rows.withColumn("n", n).filter("inside or n = 0").select(*points.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import gated, highest, lag, last, lowest, rolling_sum, series, sma, whole
+from tidemark.functions.rolling import KEY, gated, highest, lag, last, lowest, newest_first, rolling_sum, series, sma, whole
 
+# Lengths and displacements of averages, ratios of retracement.
 DMA_COMBINATIONS = ((3, 3), (7, 5), (25, 5))
 FIB_RATIOS = (0.236, 0.382, 0.5, 0.618)
 
@@ -71,14 +72,14 @@ def gated_wma(x, n: int):
 
 
 def displaced_averages(bars: DataFrame) -> DataFrame:
-    """instrument, metric, ts, value: the mean of the last p closes, stored d steps later. A step is
+    """instrument, timeframe, metric, ts, value: the mean of the last p closes, stored d steps later. A step is
     the time between the first two bars of the series; series of one bar have none."""
     rows = bars.withColumns({f"dma_{p}x{d}": sma(c(), p) for p, d in DMA_COMBINATIONS})
     rows = rows.withColumns({"first_ts": F.min("ts").over(whole()), "second_ts": F.nth_value("ts", 2).over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     step = F.timestamp_diff("SECOND", "first_ts", "second_ts")
     entries = F.array(*[F.struct(F.lit(f"DMA_{p}x{d}").alias("metric"), F.lit(d).alias("d"), F.col(f"dma_{p}x{d}").alias("value")) for p, d in DMA_COMBINATIONS])
-    long = rows.filter("second_ts is not null").select("instrument", "ts", step.alias("step"), F.explode(entries).alias("e")).filter("e.value is not null")
-    return long.select("instrument", F.col("e.metric").alias("metric"), F.timestamp_add("SECOND", F.col("step") * F.col("e.d"), "ts").alias("ts"), F.col("e.value").alias("value"))
+    long = rows.filter("second_ts is not null").select(*KEY, "ts", step.alias("step"), F.explode(entries).alias("e")).filter("e.value is not null")
+    return long.select(*KEY, F.col("e.metric").alias("metric"), F.timestamp_add("SECOND", F.col("step") * F.col("e.d"), "ts").alias("ts"), F.col("e.value").alias("value"))
 
 
 def rolling_indicators(bars: DataFrame) -> DataFrame:
@@ -106,17 +107,42 @@ def ichimoku(bars: DataFrame) -> DataFrame:
 
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The newest n bars of each series; Spark keeps n rows of a group before the exchange."""
-    newest = Window.partitionBy("instrument").orderBy(F.col("ts").desc())
-    return bars.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n).drop("rank")
+    return bars.withColumn("rank", F.row_number().over(newest_first())).filter(F.col("rank") <= n).drop("rank")
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("instrument").agg(F.max_by(F.struct(*bars.columns[1:]), "ts").alias("bar")).select("instrument", "bar.*")
+    rest = [c for c in bars.columns if c not in KEY]
+    return bars.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "ts").alias("bar")).select(*KEY, "bar.*")
 
 
 def fib_support(bars: DataFrame, n: int = 50) -> DataFrame:
     """Resistance below the high and support above the low of the last n bars, by ratio."""
-    ends = last_rows(bars, n).groupBy("instrument").agg(F.max("high").alias("high"), F.min("low").alias("low"))
-    rows = ends.select("instrument", "high", "low", F.explode(F.array(*[F.lit(x) for x in FIB_RATIOS])).alias("ratio"))
+    ends = last_rows(bars, n).groupBy(*KEY).agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    rows = ends.select(*KEY, "high", "low", F.explode(F.array(*[F.lit(x) for x in FIB_RATIOS])).alias("ratio"))
     spread = F.col("high") - F.col("low")
-    return rows.select("instrument", "ratio", (F.col("high") - spread * F.col("ratio")).alias("resistance"), (F.col("low") + spread * F.col("ratio")).alias("support"))
+    return rows.select(*KEY, "ratio", (F.col("high") - spread * F.col("ratio")).alias("resistance"), (F.col("low") + spread * F.col("ratio")).alias("support"))
+
+
+# The names of a snapshot's metrics, with the columns that hold them.
+SNAPSHOT = {
+    "SMA 14": "sma14", "SMA 50": "sma50", "EMA 9": "ema9", "RSI 14": "rsi14", "AMA 14": "ama14", "MACD": "macd", "Signal Line": "macd_signal", "MACD Histogram": "macd_hist", "Stochastic %K": "k14", "Stochastic %D": "d3",
+    "Prediction Signal": "prediction", "OP": "op", "XOP": "xop", "COP": "cop", "Support": "support", "Resistance": "resistance", "CCI": "cci20", "OBV": "obv", "ATR": "atr14", "Williams %R": "williams14",
+}
+
+
+def named_snapshot(bars: DataFrame) -> DataFrame:
+    """KEY, ts, metric, value: the latest value of each of the twenty named metrics of every series, where
+    there is one. Support and resistance are those of the last ratio."""
+    from tidemark.operators.recursive import affine_indicators
+
+    spread = h() - l()
+    top, bottom = F.max(h()).over(last(50)), F.min(l()).over(last(50))
+    rows = rolling_indicators(bars).withColumns({
+        "sma14": sma(c(), 14), "sma50": sma(c(), 50), "op": c(), "xop": h() + 1.618 * spread, "cop": h() - 0.5 * spread,
+        "support": bottom + (top - bottom) * FIB_RATIOS[-1], "resistance": top - (top - bottom) * FIB_RATIOS[-1],
+    })
+    recurring = ("ema9", "macd", "macd_signal", "macd_hist", "ama14")
+    newest = last_bar(rows.select(*KEY, "ts", *[x for x in SNAPSHOT.values() if x not in recurring]))
+    newest = newest.join(affine_indicators(bars, names=recurring), [*KEY, "ts"])
+    entries = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(column).alias("value")) for name, column in SNAPSHOT.items()])
+    return newest.select(*KEY, "ts", F.inline(entries)).filter("value is not null and not isnan(value)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import settle
+
 
 def insert_absent(incoming: DataFrame, stored: DataFrame, keys: list[str], first_by: list[Column]) -> DataFrame:
     """stored and those incoming rows whose key it lacks; of incoming rows with one key the first by
@@ -33,6 +35,18 @@ def top_k_per_group(df: DataFrame, group: str, by: Column, k: int, *ties: str) -
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def within_ratio(df: DataFrame, cap: str, reference: DataFrame, ratio: float = 5.0, fallback: float = 4e11) -> DataFrame:
+    """Rows with a positive cap of at most the reference (one row, one column; the fallback where it is
+    null or missing) over the ratio."""
+    top = F.coalesce(reference.select(F.max(reference.columns[0])).scalar(), F.lit(fallback))
+    return df.filter((F.col(cap) > 0) & (F.col(cap) <= top / ratio))
+
+
+def largest_within_ratio(df: DataFrame, cap: str, tie: str, reference: DataFrame, ratio: float = 5.0, limit: int = 250, page: int = 250) -> DataFrame:
+    """within_ratio of the largest ones: a source gives no more than a page, and is asked first."""
+    return within_ratio(top_k(df, F.col(cap), min(limit, page), tie), cap, reference, ratio)
+
+
 def book_levels(orders: DataFrame, price: str, amount: str, step: float, *keys: str) -> DataFrame:
     """Amounts summed at prices rounded to the step, ties to the even level."""
     return orders.groupBy(*keys, (F.bround(F.col(price) / step) * step).alias("level")).agg(F.sum(amount).alias("amount"))
@@ -47,24 +61,36 @@ def side_by_side(bids: DataFrame, asks: DataFrame, key: str) -> DataFrame:
     return b.join(a, [key, "place"], "full_outer")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Each left row with the right value at or before its time: a union, one sort and a running
-    last value, so no key is expanded into pairs."""
-    rows = left.select(key, ts, F.lit(1).alias("is_left"), F.lit(None).cast(right.schema[value].dataType).alias(value)).unionByName(right.select(key, ts, F.lit(0).alias("is_left"), value))
-    seen = Window.partitionBy(key).orderBy(ts, "is_left").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, True).over(seen)).filter("is_left = 1").drop("is_left")
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, bucket: str = "day") -> DataFrame:
+    """Each left row with the latest right value at or before its time (the largest of one time), null
+    if there is none: a union, a running last value inside each time bucket of a key, and what earlier
+    buckets end with. So no key is expanded into pairs, and a key with many rows is many tasks' work."""
+    kind = right.schema[value].dataType
+    rows = left.select(*keys, ts, F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias(value))
+    rows = rows.unionByName(right.filter(F.col(value).isNotNull()).groupBy(*keys, ts).agg(F.max(value).alias(value)), allowMissingColumns=True)
+    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(ts))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_of"), F.last("_end", True).over(before).alias("_carried")).filter("_carried is not null")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_last", F.last(value, True).over(inside)).filter("_row is not null")
+    same = [rows[k].eqNullSafe(ends[f"_{k}"]) for k in keys] + [rows["_bucket"].eqNullSafe(ends["_of"])]
+    return rows.join(ends, same, "left").select("_row.*", F.coalesce("_last", "_carried").alias(value))
 
 
 def with_new_ids(names: DataFrame, stored: DataFrame, name: str, key: str) -> DataFrame:
     """stored(key, name) and a row for each name that it lacks, whatever the case; new keys go on from
-    the largest, in order of the names. Names are numbered inside their first two characters, and a
-    running sum over those few groups tells where each begins."""
+    the largest, in order of the names. Names are cut into ranges of about equal size; they are numbered
+    inside a range, and a running sum over the few ranges tells where each begins."""
     offered = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("low")).agg(F.min(name).alias(name))
     fresh = offered.join(stored.select(F.lower(name).alias("low")), "low", "left_anti")
-    fresh = fresh.withColumn("head", F.substring("low", 1, 2))
-    heads = fresh.groupBy("head").count().withColumn("before", F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
+    ranges = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down, as the bounds of the ranges come from a sample.
+    fresh = settle(fresh.repartitionByRange(ranges, "low").withColumn("range", F.spark_partition_id()), "new-names")
+    counts = fresh.groupBy("range").count()
+    heads = counts.withColumn("before", F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("top"))
-    placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy("low"))).join(heads.select("head", "before"), "head")
+    placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("low"))).join(heads.select("range", "before"), "range")
     numbered = placed.select((top.scalar() + F.col("before") + F.col("place")).alias(key), name)
     return stored.select(F.col(key).cast("long").alias(key), name).unionByName(numbered)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import lag, series, sma
+from tidemark.functions.rolling import KEY, lag, series, sma, whole
 from tidemark.operators import indicators as ind
 
 
@@ -13,7 +13,7 @@ def average_crosses(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame
     """instrument, ts, close, side: bars where the fast mean goes over (1) or under (-1) the slow."""
     rows = bars.withColumn("gap", F.signum(sma(F.col("close"), fast) - sma(F.col("close"), slow)))
     rows = rows.withColumn("gap_before", lag(F.col("gap")))
-    return rows.filter("gap <> gap_before and gap <> 0").select("instrument", "ts", "close", F.col("gap").cast("int").alias("side"))
+    return rows.filter("gap <> gap_before and gap <> 0").select(*KEY, "ts", "close", F.col("gap").cast("int").alias("side"))
 
 
 def breakouts(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -21,7 +21,7 @@ def breakouts(bars: DataFrame, n: int = 20) -> DataFrame:
     w = series().rowsBetween(-n, -1)
     rows = bars.withColumns({"n": F.count("high").over(w), "top": F.max("high").over(w), "bottom": F.min("low").over(w)}).filter(F.col("n") == n)
     side = F.when(F.col("close") > F.col("top"), 1).when(F.col("close") < F.col("bottom"), -1)
-    return rows.withColumn("side", side).filter("side is not null").select("instrument", "ts", "close", "side")
+    return rows.withColumn("side", side).filter("side is not null").select(*KEY, "ts", "close", "side")
 
 
 def threshold_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0) -> DataFrame:
@@ -30,18 +30,18 @@ def threshold_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: flo
     rows = ind.base(bars).withColumn("rsi", ind.rsi(n))
     rows = rows.withColumn("side", F.when(F.col("rsi") < low, "BUY").when(F.col("rsi") > high, "SELL"))
     rows = rows.withColumn("side_before", lag(F.col("side")))
-    return rows.filter(F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("side_before"))).select("instrument", "ts", F.col("close").alias("price"), "side")
+    return rows.filter(F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("side_before"))).select(*KEY, "ts", F.col("close").alias("price"), "side")
 
 
 def line_breaks(bars: DataFrame) -> DataFrame:
     """Bars whose close crosses the straight line from the first to the last close of the series."""
-    w = Window.partitionBy("instrument")
+    w = whole()
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = bars.withColumns({"at": at, "c0": F.min_by("close", "ts").over(w), "c1": F.max_by("close", "ts").over(w)})
     rows = rows.withColumns({"t0": F.min("at").over(w), "t1": F.max("at").over(w)})
     line = F.col("c0") + (F.col("c1") - F.col("c0")) * F.try_divide(F.col("at") - F.col("t0"), F.col("t1") - F.col("t0"))
     rows = rows.withColumn("side", F.signum(F.col("close") - line)).withColumn("before", lag(F.col("side")))
-    return rows.filter("side <> before and side <> 0 and before <> 0").select("instrument", "ts", F.col("side").cast("int").alias("side"))
+    return rows.filter("side <> before and side <> 0 and before <> 0").select(*KEY, "ts", F.col("side").cast("int").alias("side"))
 
 
 def trades(crosses: DataFrame) -> DataFrame:
@@ -54,22 +54,37 @@ def backtest(held: DataFrame) -> DataFrame:
     """Figures of the trades of each series; the drawdown is that of the summed profit."""
     rows = held.withColumn("equity", F.sum("profit").over(series().rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("peak", F.greatest(F.max("equity").over(series().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    return rows.groupBy("instrument").agg(
+    return rows.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("total_trades"), F.count_if(F.col("profit") > 0).alias("winning_trades"), F.count_if(F.col("profit") <= 0).alias("losing_trades"),
         F.sum("profit").alias("total_profit"), F.try_divide(F.count_if(F.col("profit") > 0), F.count(F.lit(1))).alias("win_rate"),
         F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"), F.try_divide(F.avg("profit"), F.stddev_samp("profit")).alias("sharpe_ratio"),
     )
 
 
-def exits(held: DataFrame, target: float = 0.02, stop: float = 0.01) -> DataFrame:
-    """Whether a trade ends by its target, its stop or the next signal."""
-    kind = F.when(F.col("profit") >= target, "target").when(F.col("profit") <= -stop, "stop").otherwise("signal")
-    return held.select("instrument", "ts", kind.alias("exit_kind"))
+def exits(bars: DataFrame, crosses: DataFrame, target: float = 0.02, stop: float | None = 0.01) -> DataFrame:
+    """KEY, ts, side, exit_ts and exit_kind of each cross that another one follows: whether a bar inside
+    the trade reaches the target or the stop first (the stop, if one bar reaches both), or the next cross
+    ends it. Without a stop only the target and the next cross do. Each bar looks at the trade it is in,
+    so trades aren't joined with their bars."""
+    entry = crosses.select(*KEY, "ts", F.struct(F.col("ts").alias("ts"), F.col("close").alias("price"), "side", F.lead("ts").over(series()).alias("next_ts")).alias("trade"))
+    rows = bars.join(entry, [*KEY, "ts"], "left")
+    inside = F.last("trade", True).over(series().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("trade", inside).filter("trade.next_ts is not null and ts <= trade.next_ts")
+    price, side = F.col("trade.price"), F.col("trade.side")
+    best = F.when(side > 0, F.col("high") / price - 1).otherwise(1 - F.col("low") / price)
+    worst = F.when(side > 0, F.col("low") / price - 1).otherwise(1 - F.col("high") / price)
+    kind = F.when(worst <= -stop, "stop") if stop is not None else F.when(F.lit(False), "stop")
+    kind = kind.when(best >= target, "target").when(F.col("ts") == F.col("trade.next_ts"), "signal")
+    ends = rows.withColumn("kind", kind).filter("kind is not null").groupBy(*KEY, F.col("trade.ts").alias("entry_ts"), side.alias("side")).agg(F.min(F.struct("ts", "kind")).alias("end"))
+    return ends.select(*KEY, F.col("entry_ts").alias("ts"), "side", F.col("end.ts").alias("exit_ts"), F.col("end.kind").alias("exit_kind"))
 
 
 def rising_odds(bars: DataFrame, a: float = 1.0, b: float = 1.0) -> DataFrame:
-    """The mean of the Beta posterior that a bar closes higher, by all bars so far."""
+    """The mean of the Beta posterior that a bar closes higher, or doesn't, by all bars so far, and a
+    confidence that grows from 0 with the weight of the posterior."""
     rows = bars.withColumn("before", lag(F.col("close")))
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)
     up, n = F.count_if(F.col("close") > F.col("before")).over(so_far), F.count("before").over(so_far)
-    return rows.select("instrument", "ts", ((up + a) / (n + a + b)).alias("prob_up"))
+    rows = rows.withColumns({"up": up, "n": n})
+    odds = (F.col("up") + a) / (F.col("n") + a + b)
+    return rows.select(*KEY, "ts", odds.alias("prob_up"), (1 - odds).alias("prob_down"), (1 - 1 / F.sqrt(F.col("n") + a + b)).alias("confidence"))

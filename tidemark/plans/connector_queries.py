@@ -83,17 +83,8 @@ def listed_symbols(spark, sf_dir):
     return C.listed(table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("base"), quote, (F.col("c_acctbal") > 0).alias("active")))
 
 
-@query("SELECT n_nationkey, n_name, vol FROM nation JOIN (SELECT c_nationkey, sum(greatest(round(c_acctbal), 0)) AS vol FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) ON c_nationkey = n_nationkey WHERE vol <> 0")
-def symbols_with_volume(spark, sf_dir):
-    """Nations with the volume of a third of the customers, as in its SQL; symbols_with_total_volume has all."""
-    nation = table(spark, sf_dir, "nation")
-    volumes = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").groupBy("c_nationkey").agg(F.sum(F.greatest(F.round("c_acctbal"), F.lit(0.0))).alias("vol"))
-    tickers = nation.join(volumes, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lower("n_name").alias("symbol"), "vol")
-    return C.with_volume(nation.select("n_nationkey", "n_name", F.upper("n_name").alias("symbol")), tickers).select("n_nationkey", "n_name", "vol")
-
-
 @query("SELECT n_nationkey, n_name, vol FROM nation JOIN (SELECT c_nationkey, sum(greatest(round(c_acctbal), 0)) AS vol FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE vol <> 0")
-def symbols_with_total_volume(spark, sf_dir):
+def symbols_with_volume(spark, sf_dir):
     """Nations with the volume of all their customers."""
     nation = table(spark, sf_dir, "nation")
     volumes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum(F.greatest(F.round("c_acctbal"), F.lit(0.0))).alias("vol"))
@@ -125,25 +116,12 @@ def timeframe_rules(spark, sf_dir):
     return S.timeframes(spark).select("code", S.history_years(F.col("code")).alias("years"), S.refresh_seconds(F.col("code")).alias("seconds"))
 
 
-@query("""SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) * 1000 - 28800000 AS from_seconds, CAST(epoch(o_orderdate) AS BIGINT) * 1000 - 28800000 AS from_millis,
-CASE o_orderkey % 3 WHEN 0 THEN 'System error' WHEN 1 THEN 'Invalid ETF name' ELSE '' END AS meaning,
-'<b>' || o_orderstatus || '</b> ' || coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' END, 'N/A') || ' #' || o_orderkey AS message FROM orders WHERE epoch(o_orderdate) > 946656000""")
-def messages(spark, sf_dir):
-    """Clock shift, meanings of error codes and filled message templates, of orders after 1999 as in its
-    SQL; messages_of_all_orders has all."""
-    orders = table(spark, sf_dir, "orders")
-    seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
-    code = F.when(F.col("o_orderkey") % 3 == 0, 13500).when(F.col("o_orderkey") % 3 == 1, 10400).otherwise(200)
-    text = S.filled("<b>{symbol}</b> {side} #{id}", symbol=F.col("o_orderstatus"), side=F.when(F.col("o_orderkey") % 2 == 0, "BUY"), id=F.col("o_orderkey"))
-    return orders.filter(seconds > 946656000).select("o_orderkey", S.beijing_to_utc_millis(seconds).alias("from_seconds"), S.beijing_to_utc_millis(seconds * 1000).alias("from_millis"), C.fund_error(code).alias("meaning"), text.alias("message"))
-
-
 @query("""SELECT o_orderkey, CASE WHEN epoch(o_orderdate) > 946656000 THEN CAST(epoch(o_orderdate) AS BIGINT) * 1000 - 28800000 ELSE CAST(0 AS BIGINT) END AS from_seconds,
 CASE WHEN epoch_ms(o_orderdate) > 946656000000 THEN CAST(epoch_ms(o_orderdate) AS BIGINT) - 28800000 ELSE CAST(0 AS BIGINT) END AS from_millis,
 CASE o_orderkey % 3 WHEN 0 THEN 'System error' WHEN 1 THEN 'Invalid ETF name' ELSE '' END AS meaning,
 '<b>' || o_orderstatus || '</b> ' || coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' END, 'N/A') || ' #' || o_orderkey AS message FROM orders""")
-def messages_of_all_orders(spark, sf_dir):
-    """messages without a bound on the date: the clock shift is 0 up to the year 2000."""
+def messages(spark, sf_dir):
+    """Clock shift (0 up to the year 2000), meanings of error codes and filled message templates."""
     at = F.col("o_orderdate").cast("timestamp")
     code = F.when(F.col("o_orderkey") % 3 == 0, 13500).when(F.col("o_orderkey") % 3 == 1, 10400).otherwise(200)
     text = S.filled("<b>{symbol}</b> {side} #{id}", symbol=F.col("o_orderstatus"), side=F.when(F.col("o_orderkey") % 2 == 0, "BUY"), id=F.col("o_orderkey"))
@@ -151,12 +129,16 @@ def messages_of_all_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", *shifted, C.fund_error(code).alias("meaning"), text.alias("message"))
 
 
-@query(f"""WITH {BASE}, g AS (SELECT *, {gate('avg', 'gain', 14)} AS g, {gate('avg', 'loss', 14)} AS l FROM base),
+HOURLY = """bars AS (SELECT event_type AS instrument, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {BASE.replace(BARS, HOURLY)}, g AS (SELECT *, {gate('avg', 'gain', 14)} AS g, {gate('avg', 'loss', 14)} AS l FROM base),
 x AS (SELECT instrument, ts, close, CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END AS rsi FROM g),
-s AS (SELECT *, CASE WHEN rsi < 30 THEN 'BUY' WHEN rsi > 70 THEN 'SELL' END AS side FROM x), p AS (SELECT *, lag(side) OVER (PARTITION BY instrument ORDER BY ts) AS before FROM s)
+s AS (SELECT *, CASE WHEN rsi < 40 THEN 'BUY' WHEN rsi > 60 THEN 'SELL' END AS side FROM x), p AS (SELECT *, lag(side) OVER (PARTITION BY instrument ORDER BY ts) AS before FROM s)
 SELECT instrument, ts, {r('close', 'price')}, side FROM p WHERE side IS NOT NULL AND side IS DISTINCT FROM before""")
 def threshold_signals(spark, sf_dir):
-    return T.threshold_signals(B.orders_daily(spark, sf_dir)).select("instrument", "ts", *rounded("price"), "side")
+    """Bars of hourly values where the RSI enters the zones under 40 and over 60."""
+    return T.threshold_signals(B.events_hourly(spark, sf_dir), low=40.0, high=60.0).select("instrument", "ts", *rounded("price"), "side")
 
 
 @query("SELECT event_type, round(sum(value) / (count(*) + 1), 3) AS cost FROM events GROUP BY 1 ORDER BY cost DESC")

@@ -75,14 +75,18 @@ def mean_gap(spark, sf_dir):
     return A.mean_gap(table(spark, sf_dir, "events"), "event_type", "ts").select("event_type", F.round("mean_gap", 4).alias("mean_gap"))
 
 
-TF_VALUES = ", ".join(f"('{code}', {m * 60})" for code, m in S.TIMEFRAMES)
+#: Each kind of event stands for a timeframe here.
+KIND_FRAMES = {"click": "5m", "view": "15m", "signup": "1h", "error": "4h", "purchase": "1d"}
+FRAME_SECONDS = ", ".join(f"('{kind}', '{code}', {S.REFRESH_SECONDS[code]})" for kind, code in KIND_FRAMES.items())
 
 
-@query(f"""WITH last AS (SELECT user_id AS instrument, max(ts) AS last_ts FROM events GROUP BY 1), now AS (SELECT max(ts) AS now FROM events)
-SELECT instrument, code FROM last, (VALUES {TF_VALUES}) AS t(code, seconds), now WHERE floor(epoch(now)) - floor(epoch(last_ts)) >= seconds""")
+@query(f"""WITH last AS (SELECT user_id AS instrument, timeframe, seconds, max(ts) AS last_ts FROM events JOIN (VALUES {FRAME_SECONDS}) AS t(kind, timeframe, seconds) ON kind = event_type GROUP BY 1, 2, 3),
+now AS (SELECT max(ts) AS now FROM events) SELECT instrument, timeframe FROM last, now WHERE floor(epoch(now)) - floor(epoch(last_ts)) >= seconds""")
 def due_updates(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return A.due(events.groupBy(F.col("user_id").alias("instrument")).agg(F.max("ts").alias("last_ts")), S.timeframes(spark), events.agg(F.max("ts").alias("now")))
+    """Series whose newest bar is a refresh interval of their timeframe old."""
+    events = table(spark, sf_dir, "events").withColumn("timeframe", S.looked_up(F.col("event_type"), KIND_FRAMES, "1d"))
+    last = events.groupBy(F.col("user_id").alias("instrument"), "timeframe").agg(F.max("ts").alias("last_ts"))
+    return A.due(last, events.agg(F.max("ts").alias("now")))
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%d %b') WHEN 'O' THEN strftime(o_orderdate, '%d.%m %H:%M') ELSE strftime(o_orderdate, '%H:%M') END AS label,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
-from tidemark.operators.recursive import recursive_indicators
+from tidemark.operators.recursive import affine_indicators
+from tidemark.operators.recursive import supertrend as supertrend_of
 from tidemark.plans.registry import query
 from tidemark.sources import bars as B
 
@@ -57,7 +58,7 @@ SELECT instrument, CAST(time_bucket(INTERVAL 4 HOURS, ts) AS TIMESTAMP) AS ts, {
 def resample_4h(spark, sf_dir):
     hourly = B.events_hourly(spark, sf_dir)
     bar = F.timestamp_add("HOUR", -(F.hour("ts") % 4), "ts")
-    return B.resample(hourly, bar).select("instrument", "ts", *rounded("open", "high", "low", "close"), "volume")
+    return B.resample(hourly, "4h", bar).select("instrument", "ts", *rounded("open", "high", "low", "close"), "volume")
 
 
 @query(f"""WITH t AS (SELECT l_returnflag || l_linestatus AS instrument, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, l_extendedprice / nullif(l_quantity, 0) AS price,
@@ -65,7 +66,7 @@ def resample_4h(spark, sf_dir):
 SELECT instrument, ts, arg_min(price, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS close,
   sum(l_quantity) AS volume FROM t GROUP BY 1, 2""")
 def bars_lineitem(spark, sf_dir):
-    return B.lineitem_daily(spark, sf_dir)
+    return B.lineitem_daily(spark, sf_dir).drop("timeframe")
 
 
 @query(f"WITH {BASE} SELECT instrument, ts, {r(gate('avg', 'close', 9), 'sma9')}, {r(gate('avg', 'close', 21), 'sma21')} FROM base")
@@ -122,14 +123,14 @@ def donchian(spark, sf_dir):
     return rolling(spark, sf_dir, "donchian_high", "donchian_low")
 
 
-#: Added before rounding, so that no exact tie is rounded.
-OFF_TIES = 0.0000137
+#: Values nearer to a tie than this are rounded up, in Spark and SQL alike, whatever the last bit says.
+TIE = 1e-9
 ALL_BEFORE = "OVER (PARTITION BY instrument ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 
 
-@query(f"WITH {BASE} SELECT instrument, ts, {r(f'sum(tp * volume) {ALL_BEFORE} / nullif(sum(volume) {ALL_BEFORE}, 0) + {OFF_TIES}', 'vwap')} FROM base")
+@query(f"WITH {BASE} SELECT instrument, ts, {r(f'sum(tp * volume) {ALL_BEFORE} / nullif(sum(volume) {ALL_BEFORE}, 0) + {TIE}', 'vwap')} FROM base")
 def vwap(spark, sf_dir):
-    return ind.rolling_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", F.round(F.col("vwap") + OFF_TIES, 4).alias("vwap"))
+    return ind.rolling_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", F.round(F.col("vwap") + TIE, 4).alias("vwap"))
 
 
 @query(f"WITH {BASE}, m AS (SELECT *, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS mf FROM base) SELECT instrument, ts, {r('(' + gate('sum', 'mf', 20) + ') / nullif(' + gate('sum', 'volume', 20) + ', 0)', 'cmf20')} FROM m")
@@ -199,7 +200,7 @@ def dma_long(spark, sf_dir):
 
 
 def recursive(spark, sf_dir, *names):
-    return recursive_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", *rounded(*names))
+    return affine_indicators(B.orders_daily(spark, sf_dir), names=names).select("instrument", "ts", *rounded(*names))
 
 
 NUMBERED = f"{BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS rn FROM bars)"
@@ -249,7 +250,7 @@ UNION ALL SELECT z.instrument, z.rn, z.ts, CASE WHEN z.before <= e.up THEN least
   CASE WHEN z.close > e.up THEN 1 WHEN z.close < e.low THEN -1 ELSE e.d END FROM e JOIN z ON z.instrument = e.instrument AND z.rn = e.rn + 1)
 SELECT n.instrument, n.ts, {r('CASE WHEN d = 1 THEN e.low ELSE e.up END', 'supertrend')}, CAST(d AS INTEGER) AS supertrend_dir FROM n LEFT JOIN e ON e.instrument = n.instrument AND e.rn = n.rn""")
 def supertrend(spark, sf_dir):
-    rows = recursive_indicators(B.orders_daily(spark, sf_dir))
+    rows = supertrend_of(B.orders_daily(spark, sf_dir))
     return rows.select("instrument", "ts", *rounded("supertrend"), "supertrend_dir")
 
 

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.relational import upsert_latest
-from tidemark.runtime import settle, shared_dir, ship
+from tidemark.runtime import settle, work_dir, ship
+from tidemark.sources import store
 
-BAR_COLUMNS = ["instrument", "ts", "open", "high", "low", "close", "volume"]
 BOOK_SCHEMA = "symbol string, seq long, n_levels int, gap boolean"
 BOOK_STATE = "last long, prices array<double>, amounts array<double>"
 
@@ -26,39 +25,60 @@ def landing(spark: SparkSession, path: str, schema: StructType, files_per_trigge
     return reader.parquet(path)
 
 
-def tick_bars(ticks: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Bars of ticks(instrument, ts, seq, price, volume) by tumbling windows under a watermark."""
+def tick_bars(ticks: DataFrame, timeframe: str = "1h", length: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """Bars of ticks(instrument, ts, seq, price, volume) by tumbling windows under a watermark: ticks of a
+    window that ended before it are dropped, and its state with them."""
     rows = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     bars = rows.groupBy("instrument", F.window("ts", length).alias("w")).agg(
         F.min_by("price", F.struct("ts", "seq")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("volume").alias("volume"),
     )
-    return bars.select("instrument", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+    return bars.select("instrument", F.lit(timeframe).alias("timeframe"), F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def run_merged(stream: DataFrame, keys: list[str], mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its merged rows: each micro-batch upserts by
-    key with the batch number as version, so that a batch that runs again changes nothing."""
-    spark = stream.sparkSession
-    top = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
-    held: dict[str, DataFrame] = {}
+def session_bars(ticks: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
+    """instrument, ts, end_ts and number of ticks of each run of ticks without a gap of that length."""
+    rows = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    runs = rows.groupBy("instrument", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return runs.select("instrument", F.col("w.start").cast("timestamp_ntz").alias("ts"), F.col("w.end").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+def sliding_bars(ticks: DataFrame, length: str, step: str, late: str = "1 day") -> DataFrame:
+    """instrument, ts, high and low of windows of that length that begin at every step."""
+    rows = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    bars = rows.groupBy("instrument", F.window("ts", length, step).alias("w")).agg(F.max("price").alias("high"), F.min("price").alias("low"))
+    return bars.select("instrument", F.col("w.start").cast("timestamp_ntz").alias("ts"), "high", "low")
+
+
+def run_stored(stream: DataFrame, stored: store.Table, checkpoint: str) -> None:
+    """Run a stream of changed rows over all that is there, each micro-batch upserting into a stored
+    table with its number as version. The table and the checkpoint are fixed folders: a query that is
+    started again goes on where the last one ended, and a batch that runs again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("batch", F.lit(number))
-        old = held.get("rows")
-        if old is None:
-            old = spark.createDataFrame([], batch.schema)
-        held["rows"] = settle(upsert_latest(new, old, keys, F.col("batch")), "merged")
+        stored.upsert(batch, F.lit(number))
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
-    return held.get("rows", spark.createDataFrame([], stream.schema))
+    stored.create(stream.sparkSession)
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+
+
+def run_complete(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there and return what its groups ended with."""
+    spark = stream.sparkSession
+    top = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last: dict[str, DataFrame] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last["rows"] = settle(batch, "complete")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return last.get("rows", spark.createDataFrame([], stream.schema))
 
 
 def run_appended(stream: DataFrame) -> DataFrame:
     """Run an append stream over all that is there and read its files back."""
     spark = stream.sparkSession
-    top = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex}"
+    top = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{top}/rows")
