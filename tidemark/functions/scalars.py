@@ -86,6 +86,11 @@ def looked_up(code: Column, table: dict, otherwise) -> Column:
     return F.coalesce(F.try_element_at(pairs, code), F.lit(otherwise))
 
 
+def coalesced_name(interval_name: Column, name: Column, code: Column) -> Column:
+    """A timeframe's name by the first of its fields that is there."""
+    return F.coalesce(interval_name, name, code)
+
+
 def history_years(code: Column) -> Column:
     return looked_up(code, HISTORY_YEARS, 2.0)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.runtime import settle
@@ -47,6 +47,20 @@ def largest_within_ratio(df: DataFrame, cap: str, tie: str, reference: DataFrame
     return within_ratio(top_k(df, F.col(cap), min(limit, page), tie), cap, reference, ratio)
 
 
+def updated(df: DataFrame, where: Column, column: str, value: Column) -> DataFrame:
+    """df with a new value in one column of the rows where a condition is true."""
+    return df.withColumn(column, F.when(where, value.cast(df.schema[column].dataType)).otherwise(F.col(column)))
+
+
+def run_sql(spark: SparkSession, sql: str, params: dict, **tables: DataFrame) -> DataFrame:
+    """Parameterised SQL: :name stands for a parameter, {name} for a table."""
+    return spark.sql(sql, args=params, **tables)
+
+
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
 def book_levels(orders: DataFrame, price: str, amount: str, step: float, *keys: str) -> DataFrame:
     """Amounts summed at prices rounded to the step, ties to the even level."""
     return orders.groupBy(*keys, (F.bround(F.col(price) / step) * step).alias("level")).agg(F.sum(amount).alias("amount"))

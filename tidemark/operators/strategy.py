@@ -44,6 +44,35 @@ def line_breaks(bars: DataFrame) -> DataFrame:
     return rows.filter("side <> before and side <> 0 and before <> 0").select(*KEY, "ts", F.col("side").cast("int").alias("side"))
 
 
+STRATEGY = "name string, kind string, direction string, take_profit double, stop_loss double"
+
+
+def line_breakout_strategy(name: str, direction: str = "up", take_profit: float = 0.02, stop_loss: float = 0.01) -> tuple:
+    """Enter where a line is broken in a direction; leave at a target or a stop."""
+    return name, "breakout", direction, take_profit, stop_loss
+
+
+def rectangle_strategy(name: str, kind: str = "bounce", take_profit: float = 0.015) -> tuple:
+    """Trade inside a range, or its break; leave at a target alone."""
+    return name, kind, None, take_profit, None
+
+
+def run_strategies(bars: DataFrame, crosses: DataFrame, strategies: list[tuple]) -> DataFrame:
+    """The exits of the crosses under each strategy, by its name; those of another direction are left out."""
+    out = None
+    for name, _, direction, target, stop in strategies:
+        some = exits(bars, crosses, target, stop)
+        some = some if direction is None else some.filter(F.col("side") == (1 if direction == "up" else -1))
+        some = some.withColumn("strategy", F.lit(name))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def without(strategies: list[tuple], index: int) -> list[tuple]:
+    """The list without the one at a place; as it is for a place beyond it."""
+    return strategies[:index] + strategies[index + 1 :] if 0 <= index < len(strategies) else strategies
+
+
 def trades(crosses: DataFrame) -> DataFrame:
     """Each cross is held until the next one: entry, exit and relative profit."""
     rows = crosses.withColumn("exit", F.lead("close").over(series())).filter("exit is not null")

@@ -8,6 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import relational as R
 from tidemark.plans.registry import query
 from tidemark.runtime import table
+from tidemark.sources import folder
 
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey")
@@ -26,16 +27,13 @@ def last_ts_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("last_ts"))
 
 
-NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+NAMES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in NAMES))
 def table_counts(spark, sf_dir):
-    parts = [table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in NAMES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The number of rows of every table in the folder."""
+    return folder.table_counts(spark, sf_dir)
 
 
 @query("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))")

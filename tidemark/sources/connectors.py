@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.rolling import newest_first
+from tidemark.functions.scalars import TIMEFRAMES
+
 # Days of history that a source gives for short timeframes; others give all.
 HISTORY_DAYS = {"1m": 7, "5m": 7, "15m": 7, "30m": 7, "1h": 730}
 # What a fund service's error codes mean.
@@ -50,6 +53,25 @@ def within_history(bars: DataFrame, code: str, now: Column) -> DataFrame:
     return bars.filter(F.col("ts") >= now - F.make_dt_interval(F.lit(HISTORY_DAYS[code]))) if code in HISTORY_DAYS else bars
 
 
+def recent_days(code: str, limit: int) -> int:
+    """Days that a source is asked for to get the last limit bars."""
+    if code in ("1m", "5m", "15m", "30m"):
+        return 7
+    return min(max(7, limit // 24 + 1) if code == "1h" else max(30, limit + 1), 730)
+
+
+def recent_bars(bars: DataFrame, limit: int, now: Column, page: int = 1000) -> DataFrame:
+    """The last bars of each series, no more than a page and none older than what a source is asked for."""
+    codes = F.create_map(*[F.lit(x) for code, _ in TIMEFRAMES for x in (code, recent_days(code, limit))])
+    rows = bars.filter(F.col("ts") >= now - F.make_dt_interval(F.coalesce(F.try_element_at(codes, F.col("timeframe")), F.lit(recent_days("", limit)))))
+    return rows.withColumn("_rank", F.row_number().over(newest_first())).filter(F.col("_rank") <= min(limit, page)).drop("_rank")
+
+
+def within_years(bars: DataFrame, now: Column, years: float = 2.0) -> DataFrame:
+    """The default window of a history: so many years of 365 days up to now."""
+    return bars.filter(F.col("ts").between(now - F.make_dt_interval(F.lit(int(years * 365))), now))
+
+
 def record_bars(records: DataFrame) -> DataFrame:
     """Bars of records(instrument, fields), fields being a map of strings: keys in lower case or
     titled, time as `timestamp` or as seconds under `id`; what is missing is 0, volume has two

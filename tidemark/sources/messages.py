@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import filled, to_display
+
 ENVELOPE = "status string, `err-code` string, `err-msg` string, op string, action string, ch string, rep string, ping bigint, ts bigint, code int, data string"
 #: What a channel's or an answer's records hold, by the kind of channel: a registry that callers extend.
 RECORDS = {
@@ -61,18 +63,56 @@ def latest_prices(symbols: DataFrame, tickers: DataFrame) -> DataFrame:
     return symbols.join(last, F.lower("symbol") == F.col("_name"), "left").select("symbol", "close")
 
 
-#: Checks of a request's values, by name; each tells whether a value passes.
-CHECKS = {
-    "symbol": lambda c: F.regexp_like(c, F.lit(r"^[a-zA-Z0-9]+$")),
-    "symbols": lambda c: (F.size(c) > 0) & F.forall(c, lambda x: F.regexp_like(x, F.lit(r"^[a-zA-Z0-9]+$"))),
-    "currency": lambda c: F.regexp_like(c, F.lit(r"^[a-zA-Z0-9]+$")),
-    "present": lambda c: c.isNotNull(),
-    "text": lambda c: F.coalesce(c, F.lit("")) != "",
-    "date": lambda c: F.regexp_like(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")) & c.try_cast("date").isNotNull(),
-}
+# Channels by name, subscribed to or asked for once; account channels; topics of requests.
+MARKET_CHANNELS = {
+    "kline": "market.{symbol}.kline.{interval}", "trade": "market.{symbol}.trade.detail", "depth": "market.{symbol}.depth.{step}", "bbo": "market.{symbol}.bbo", "detail": "market.{symbol}.detail",
+    "ticker": "market.{symbol}.ticker", "mbp": "market.{symbol}.mbp.{levels}", "mbp_full": "market.{symbol}.mbp.refresh.{levels}",
+}
+ACCOUNT_CHANNELS = {"orders": "orders#{symbol}", "accounts": "accounts.update#{mode}", "clearing": "trade.clearing#{symbol}#{mode}"}
+TOPICS = {"accounts": "accounts.list", "orders": "orders.list", "order": "orders.detail"}
+
+
+def market_message(name: str, message_id: Column, once: bool = False, since: Column | None = None, until: Column | None = None, **parts: Column) -> Column:
+    """The JSON that subscribes to a market channel, or asks for it once, from and to a time in seconds."""
+    given = [(since, "from"), (until, "to")] if once else []
+    fields = [filled(MARKET_CHANNELS[name], **parts).alias("req" if once else "sub"), message_id.cast("string").alias("id"), *[c.cast("long").alias(n) for c, n in given if c is not None]]
+    return F.to_json(F.struct(*fields))
+
+
+def account_message(name: str, **parts: Column) -> Column:
+    """The JSON that subscribes to an account channel."""
+    return F.to_json(F.struct(F.lit("sub").alias("action"), filled(ACCOUNT_CHANNELS[name], **parts).alias("ch")))
+
+
+def topic_message(name: str, message_id: Column, **fields: Column) -> Column:
+    """The JSON of a request for a topic; fields that are null are left out, _ in a name stands for -."""
+    named = [c.alias(n.replace("_", "-")) for n, c in fields.items()]
+    return F.to_json(F.struct(F.lit("req").alias("op"), F.lit(TOPICS[name]).alias("topic"), message_id.cast("string").alias("cid"), *named))
+
+
+def tick_row(messages: DataFrame, body: str = "body") -> DataFrame:
+    """symbol, local_ts (display zone), low, high, open, close, volume, amount of snapshots with a tick."""
+    x = F.from_json(body, "ts bigint, tick struct<low: double, high: double, open: double, close: double, vol: double, amount: double>")
+    rows = messages.withColumn("_x", x).filter("_x.tick is not null")
+    local = to_display(F.timestamp_millis("_x.ts").cast("timestamp_ntz")).alias("local_ts")
+    return rows.select("symbol", local, *[F.col(f"_x.tick.{c}").alias(c) for c in ("low", "high", "open", "close")], F.col("_x.tick.vol").alias("volume"), F.col("_x.tick.amount").alias("amount"))
+
 
+# Characters that a symbol or currency must not have.
+FORBIDDEN = r"[ _`~!@#$%^&*()+=|{}':;,\[\].<>/?～！￥…（）—【】‘；：”“’。，、？\n\t]"
+MARKET_ORDERS, NOT_FOR_MARKET = ("buy-market", "sell-market"), ("gtc", "boc", "fok")
 
-def in_range(c: Column, low: float, high: float) -> Column:
+
+def valid_name(c: Column) -> Column:
+    """Of a symbol or a currency."""
+    return c.isNotNull() & ~F.regexp_like(c, F.lit(FORBIDDEN))
+
+
+def valid_names(c: Column) -> Column:
+    return c.isNotNull() & F.forall(c, valid_name)
+
+
+def in_range(c: Column, low, high) -> Column:
     return c.isNull() | c.between(low, high)
 
 
@@ -80,5 +120,18 @@ def in_list(c: Column, *values) -> Column:
     return c.isNull() | c.isin(*values)
 
 
-def not_longer(c: Column, most: int) -> Column:
-    return F.coalesce(F.size(c), F.lit(0)) <= most
+def of_length(c: Column, least: int, most: int) -> Column:
+    return c.isNull() | F.size(c).between(least, most)
+
+
+def at_least(c: Column, base) -> Column:
+    return c.isNull() | (c >= base)
+
+
+def valid_time_in_force(time_in_force: Column, order_type: Column) -> Column:
+    return time_in_force.isNull() | ~(order_type.isin(*MARKET_ORDERS) & time_in_force.isin(*NOT_FOR_MARKET))
+
+
+def formatted_date(c: Column) -> Column:
+    """A date as yyyy-MM-dd with all its zeros; null for what isn't one."""
+    return F.when(F.regexp_like(c, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$")), F.date_format(c.try_cast("date"), "yyyy-MM-dd"))

@@ -37,8 +37,8 @@ class Table:
     def full_schema(self) -> StructType:
         return StructType.fromDDL(f"{self.schema}, month string")
 
-    def dated(self, rows: DataFrame) -> DataFrame:
-        return rows.select(*StructType.fromDDL(self.schema).fieldNames(), F.date_format("ts", "yyyy-MM").alias("month"))
+    def dated(self, rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select(*StructType.fromDDL(self.schema).fieldNames(), F.date_format("ts", "yyyy-MM").alias("month"), *more)
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All rows, with the month, by which time filters prune folders."""
@@ -51,7 +51,7 @@ class Table:
         """Of rows with one key the last version stays; partitions without new rows aren't read."""
         spark = rows.sparkSession
         version = F.lit(0) if version is None else version
-        new = settle(self.dated(rows).withColumn("_version", version.cast("long")), "upsert")
+        new = settle(self.dated(rows, version.cast("long").alias("_version")), "upsert")
         touched = new.select(*PARTITIONS).distinct()
         old = self.rows(spark).join(touched, PARTITIONS, "left_semi")
         merged = settle(upsert_latest(new, old, [*self.keys, "month"], F.col("_version")), "merged")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tidemark.runtime import settle, work_dir, ship
@@ -75,6 +76,33 @@ def run_complete(stream: DataFrame) -> DataFrame:
     return last.get("rows", spark.createDataFrame([], stream.schema))
 
 
+class Failures(StreamingQueryListener):
+    """Keeps the id and the error of streams that end with one, and tells a handler of each."""
+
+    def __init__(self, handler=None):
+        self.found: list[tuple[str, str]] = []
+        self.handler = handler
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.exception is not None:
+            self.found.append((str(event.id), event.exception))
+            if self.handler:
+                self.handler(event.exception)
+
+
+def start_updates(stream: DataFrame, stored: store.Table, checkpoint: str, every: str = "60 seconds"):
+    """Upsert a stream into a stored table in the background, at this pace, until the query is stopped."""
+    stored.create(stream.sparkSession)
+    merge = lambda batch, number: stored.upsert(batch, F.lit(number))
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(merge).start()
+
+
 def run_appended(stream: DataFrame) -> DataFrame:
     """Run an append stream over all that is there and read its files back."""
     spark = stream.sparkSession
