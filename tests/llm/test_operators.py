@@ -598,3 +598,18 @@ def test_odd_tables(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "x|<" * 300_000)], "conv_id long, turn long, role string, text string")
     got = chat.chat_digests(turns).first()
     assert got.n_turns == 3 and got.loss_chars == 900_000 and got.loss_sha256 == hashlib.sha256(b"x|<" * 300_000).hexdigest()
+
+
+def test_licences_of_rules_by_length_and_of_own_rules(spark):
+    """A licence whose rule is part of a longer match isn't reported; callers may bring hundreds of rules."""
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+           "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."
+    lgpl = "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version."
+    texts = ["\n".join(bsd), "\n".join(bsd[:3]), "\n".join([*bsd, "x", *bsd[:3]]), isc, lgpl, "# SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: 0BSD"]
+    got = [r.licences for r in licences.scan_licences(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause,BSD-2-Clause", "ISC", "LGPL-2.1-or-later", "AGPL-3.0", "0BSD"]
+    own = licences.RuleBase([f"sentence number {k} of the rules" for k in range(600)], [(f"L{k}", (k + 1, k + 2)) for k in range(599)] + [("first", (1,))])
+    rows = licences.scan_licences(documents(spark, ["Sentence number 7 of the rules. Sentence number 8 of the rules.", "sentence number 0 of the rules", "sentence number 77"]), base=own)
+    assert [r.licences for r in rows.orderBy("doc_id").collect()] == ["L7", "first", ""]

@@ -5,16 +5,18 @@ or end: line ends, . ! ? ; : before a blank, and list numbers. A known licence s
 its words stand in a row from one mark to another, whatever marks are between, so it may be wrapped
 over lines, with comment leaders, or share a line with others; one of LONG words or more needs no marks
 around it. Of sentences that overlap the first counts, and of those with the same begin the longest.
-The text's sequence of their identifiers is matched against ordered licence rules, each a sequence of
-identifiers that must occur in a row. All rules that match are reported, in the order of the rules;
-the first one is the text's licence.
+The sentences stand in one pattern as a tree of their words, so a place in a text is compared with the
+words that can follow, not with every sentence. The text's sequence of identifiers is matched against
+licence rules, each a sequence of identifiers that must occur in a row: long rules first, and what a
+rule has matched isn't matched by a shorter one again. Licences are reported in the order of the rules;
+the first one is the text's licence. Sentences and rules are a parameter (RuleBase).
 
 The SQL equivalent knows SENTENCES and RULES alone, and sentences that have a line or the space
 between two of . ! ? to themselves; on such texts both give the same.
 
 Defined results: a null, empty or licence-free text has no sentence, no rule and a null licence;
-unknown sentences between known ones don't break a sequence; repeated rows are scanned each; an
-empty table gives an empty result; further columns are ignored; whole texts are scanned, however
+unknown sentences between known ones don't break a sequence; rules that match equally long sequences
+tie and are both reported; repeated rows are scanned each; an empty table gives an empty result; further columns are ignored; whole texts are scanned, however
 long.
 """
 
@@ -107,8 +109,30 @@ SPDX = {
     "MIT": ["mit"], "Apache-2.0": ["apache 2 0"], "GPL-3.0-or-later": ["gpl 3 0 or later"], "GPL-2.0-or-later": ["gpl 2 0 or later"], "GPL-3.0": ["gpl 3 0", "gpl 3 0 only"], "GPL-2.0": ["gpl 2 0", "gpl 2 0 only"],
     "BSD-3-Clause": ["bsd 3 clause"], "BSD-2-Clause": ["bsd 2 clause"], "MPL-2.0": ["mpl 2 0"], "Unlicense": ["unlicense"], "CC-BY-NC-4.0": ["cc by nc 4 0"], "CC-BY-SA-4.0": ["cc by sa 4 0"], "CC-BY-4.0": ["cc by 4 0"],
 }
+# Sentences that begin the notices or texts of further licences.
+TEXTS = [
+    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSL-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
+    ("Zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("EPL-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
+    ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("WTFPL", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+]
+# The notice of the GNU licences, by subject, name and version.
+GNU = {"LGPL-2.1": ("library", "lesser ", "2 1"), "LGPL-3.0": ("library", "lesser ", "3"), "LGPL-3.0 ": ("program", "lesser ", "3"), "AGPL-3.0": ("program", "affero ", "3")}
+TEXTS += [
+    (f"{name.strip()}-or-later", f"this {subject} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version")
+    for name, (subject, kind, version) in GNU.items()
+]
+# Identifiers, each with its words; GNU ones have two more forms.
+MORE_SPDX = ["ISC", "BSL-1.0", "Zlib", "EPL-2.0", "CC0-1.0", "WTFPL", "0BSD", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "EPL-1.0", "MPL-1.1", "Artistic-2.0", "PostgreSQL", "CC-BY-SA-3.0", "CC-BY-3.0", "OFL-1.1", "MIT-0"]
 WORDINGS += [(name, s) for name, forms in NAMED.items() for s in forms]
 WORDINGS += [(name, f"spdx license identifier {i}") for name, ids in SPDX.items() for i in ids]
+for name in MORE_SPDX:
+    ends = {"": "", "-only": "", "-or-later": "-or-later"} if "GPL" in name else {"": ""}
+    WORDINGS += [(name + said, f"spdx license identifier {(name + form).lower().replace('-', ' ').replace('.', ' ')}") for form, said in ends.items()]
+WORDINGS += TEXTS
 # The full texts' own variants: MIT's second condition, Apache's address.
 VARIANTS = [
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
@@ -116,22 +140,55 @@ VARIANTS = [
 ]
 # Words from which a sentence needs no marks around it.
 LONG = 12
-ALL_SENTENCES = list(dict.fromkeys([*SENTENCES, *VARIANTS, *[s for _, s in WORDINGS]]))
-ORDER = list(dict.fromkeys(name for name, _ in RULES))
-ORDER.insert(ORDER.index("GPL-3.0") + 1, "GPL-2.0")
-ALL_RULES = sorted(
-    [*RULES, ("MIT", (5, 32)), ("Apache-2.0", (7,)), ("Apache-2.0", (7, 8, 33, 10, 11)), *[(name, (ALL_SENTENCES.index(s) + 1,)) for name, s in WORDINGS]], key=lambda r: ORDER.index(r[0])
-)
 
 
-def pattern() -> str:
-    """A known sentence from mark to mark, or of LONG words or more anywhere; its blanks may be marks."""
-    names = "|".join(sorted((s for forms in NAMED.values() for s in forms), key=len, reverse=True))
-    sentences = sorted(ALL_SENTENCES, key=len, reverse=True)
-    long = [s for s in sentences if s.count(" ") + 1 >= LONG]
-    short = [*[s for s in sentences if s not in long], f"(?:{LEAD})?(?:{names})(?:{TAIL})?"]
-    either = [f"(?:{'|'.join(forms)})".replace(" ", r"[ \n]") for forms in (long, short)]
-    return rf"(?<=[ \n]){either[0]}(?=[ \n])|(?<=\n){either[1]}(?=\n)"
+class RuleBase:
+    """sentences: normalised, identified by their place from 1; rules: (licence, identifiers), licences in
+    the order of the rules; names: wordings that may have LEAD before and TAIL after them."""
+
+    def __init__(self, sentences: list[str], rules: list[tuple[str, tuple[int, ...]]], names: list[str] = ()):
+        self.sentences, self.rules, self.names = sentences, rules, list(names)
+
+    @classmethod
+    def default(cls) -> RuleBase:
+        sentences = list(dict.fromkeys([*SENTENCES, *VARIANTS, *[s for _, s in WORDINGS]]))
+        order = list(dict.fromkeys(name for name, _ in RULES))
+        order.insert(order.index("GPL-3.0") + 1, "GPL-2.0")
+        order += [name for name in dict.fromkeys(name for name, _ in WORDINGS) if name not in order]
+        number = {s: i for i, s in enumerate(sentences, 1)}
+        rules = [*RULES, ("MIT", (5, 32)), ("Apache-2.0", (7,)), ("Apache-2.0", (7, 8, 33, 10, 11)), *[(name, (number[s],)) for name, s in WORDINGS]]
+        return cls(sentences, sorted(rules, key=lambda r: order.index(r[0])), [s for forms in NAMED.values() for s in forms])
+
+    def pattern(self) -> str:
+        """A known sentence from mark to mark, or of LONG words or more anywhere; its blanks may be marks."""
+        long = [s for s in self.sentences if s.count(" ") + 1 >= LONG]
+        short = [s for s in self.sentences if s.count(" ") + 1 < LONG]
+        marked = [rf"(?<=\n){tree(short)}(?=\n)"] if short else []
+        if self.names:
+            marked.append(rf"(?<=\n)(?:{LEAD})?{tree(self.names)}(?:{TAIL})?(?=\n)".replace(" ", BLANK))
+        return "|".join([*([rf"(?<=[ \n]){tree(long)}(?=[ \n])"] if long else []), *marked])
+
+
+BLANK = r"[ \n]"
+
+
+def tree(sentences: list[str]) -> str:
+    """A pattern of these sentences that goes word by word: the longest one along a path."""
+    top: dict = {}
+    for s in sentences:
+        node = top
+        for word in s.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def written(node: dict, first: bool) -> str:
+        rest = [("" if first else BLANK) + word + written(child, False) for word, child in sorted(node.items()) if word]
+        if not rest:
+            return ""
+        both = "(?:" + "|".join(rest) + ")" if len(rest) > 1 else rest[0]
+        return f"(?:{both})?" if "" in node else both
+
+    return written(top, True)
 
 
 def marked(text: Column) -> Column:
@@ -147,16 +204,23 @@ def key(ids: tuple[int, ...]) -> str:
     return "|" + "|".join(map(str, ids)) + "|"
 
 
-def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: RuleBase | None = None) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licences (names of matching rules, in order,
     comma-joined) and licence (the first, or null) of every text of df."""
-    known = F.create_map(*[F.lit(x) for i, s in enumerate(ALL_SENTENCES, 1) for x in (s, i)])
-    held = F.transform(F.regexp_extract_all(marked(df[text_col]), F.lit(pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    base = base or RuleBase.default()
+    known = F.create_map(*[F.lit(x) for i, s in enumerate(base.sentences, 1) for x in (s, i)])
+    held = F.transform(F.regexp_extract_all(marked(df[text_col]), F.lit(base.pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
     name = lambda s: F.regexp_replace(s, f"^{LEAD}|{TAIL}$", "")
     ids = F.transform(held, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, name(s))))
     found = df.select(df[id_col].cast("long").alias("doc_id"), F.array_join(ids.cast("array<string>"), "|").alias("ids"))
-    held = F.concat(F.lit("|"), F.col("ids"), F.lit("|"))
-    names = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(held, F.lit(key(ids))), F.lit(name)) for name, ids in ALL_RULES])))
+    # Long rules first; what one has matched is marked as 0.
+    order = {name: k for k, name in enumerate(dict.fromkeys(name for name, _ in base.rules))}
+    rules = F.array(*[F.struct(F.lit(key(i)).alias("key"), F.lit(order[n]).alias("place")) for n, i in sorted(base.rules, key=lambda r: -len(r[1]))])
+    start = F.struct(F.concat(F.lit("|"), F.col("ids"), F.lit("|")).alias("left"), F.array().cast("array<int>").alias("places"))
+    step = lambda state, rule: F.when(F.contains(state["left"], rule["key"]), F.struct(F.replace(state["left"], rule["key"], F.lit("|0|")).alias("left"), F.array_append(state["places"], rule["place"]).alias("places"))).otherwise(state)
+    places = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.aggregate(rules, start, step, lambda state: F.array_sort(F.array_distinct(state["places"]))))
+    licences = F.array(*map(F.lit, order))
+    names = F.transform(places, lambda k: F.get(licences, k))
     return found.select(
         "doc_id", F.when(F.col("ids") == "", F.lit(0)).otherwise(F.size(F.split("ids", r"\|"))).cast("long").alias("n_sentences"),
         F.col("ids").alias("sentence_ids"), F.array_join(names, ",").alias("licences"), F.try_element_at(names, F.lit(1)).alias("licence"),
