@@ -22,6 +22,8 @@ long.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,6 +161,18 @@ class RuleBase:
         rules = [*RULES, ("MIT", (5, 32)), ("Apache-2.0", (7,)), ("Apache-2.0", (7, 8, 33, 10, 11)), *[(name, (number[s],)) for name, s in WORDINGS]]
         return cls(sentences, sorted(rules, key=lambda r: order.index(r[0])), [s for forms in NAMED.values() for s in forms])
 
+    def triggers(self) -> list[str]:
+        """Words of which every sentence has one: long ones, as they are rare in other texts, where it has any."""
+        left, out = [set(s.split(" ")) for s in (*self.sentences, *self.names)], []
+        while left:
+            counts: dict[str, int] = {}
+            for words in left:
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+            out.append(max(sorted(counts), key=lambda w: (len(w) > 5, counts[w], len(w))))
+            left = [words for words in left if out[-1] not in words]
+        return out
+
     def pattern(self) -> str:
         """A known sentence from mark to mark, or of LONG words or more anywhere; its blanks may be marks."""
         long = [s for s in self.sentences if s.count(" ") + 1 >= LONG]
@@ -209,7 +223,11 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comma-joined) and licence (the first, or null) of every text of df."""
     base = base or RuleBase.default()
     known = F.create_map(*[F.lit(x) for i, s in enumerate(base.sentences, 1) for x in (s, i)])
-    held = F.transform(F.regexp_extract_all(marked(df[text_col]), F.lit(base.pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
+    # A text without any of these words holds no sentence, so that most texts aren't normalised at all.
+    lower = F.lower(F.coalesce(df[text_col], F.lit("")))
+    may_hold = reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in base.triggers()], F.lit(False))
+    marks = F.when(may_hold, marked(df[text_col])).otherwise("")
+    held = F.transform(F.regexp_extract_all(marks, F.lit(base.pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
     name = lambda s: F.regexp_replace(s, f"^{LEAD}|{TAIL}$", "")
     ids = F.transform(held, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, name(s))))
     found = df.select(df[id_col].cast("long").alias("doc_id"), F.array_join(ids.cast("array<string>"), "|").alias("ids"))
