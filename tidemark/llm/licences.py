@@ -225,7 +225,8 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = F.create_map(*[F.lit(x) for i, s in enumerate(base.sentences, 1) for x in (s, i)])
     # A text without any of these words holds no sentence, so that most texts aren't normalised at all.
     lower = F.lower(F.coalesce(df[text_col], F.lit("")))
-    may_hold = reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in base.triggers()], F.lit(False))
+    any_of = lambda x: reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in base.triggers()], F.lit(False))
+    may_hold = F.get(F.transform(F.array(lower), any_of), F.lit(0))
     marks = F.when(may_hold, marked(df[text_col])).otherwise("")
     held = F.transform(F.regexp_extract_all(marks, F.lit(base.pattern()), F.lit(0)), lambda s: F.translate(s, "\n", " "))
     name = lambda s: F.regexp_replace(s, f"^{LEAD}|{TAIL}$", "")
