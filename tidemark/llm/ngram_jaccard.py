@@ -49,6 +49,8 @@ FRAGMENTS = 4
 #: Parts of a range whose n-grams are counted one after another.
 PARTS = 4
 U64 = np.uint64
+#: Keys that the rows of one set are spread over.
+SALTS = 8
 #: Bits of a hash that n-grams are told apart by from the first step on.
 BITS_KEPT = 52
 #: n-grams of one in so many documents are hot, and of so many at least; the list has a bounded length.
@@ -425,11 +427,16 @@ def near_duplicate_components(df: DataFrame, n: int = 5, num: int = 80, den: int
         met = some if met is None else met.unionByName(some)
     more = links(met.distinct().join(pairs, ["a", "b"], "left_anti"), nodes, num, den)
     labels = components(found.unionByName(more))
-    tagged = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", "size", F.coalesce("component", "sig").alias("component"))
-    with_grams = tagged.filter("size > 0")
-    smallest = with_grams.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = with_grams.join(smallest, "component").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(tagged.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # What a set's group is called, of sets with a copy or a link; the rows of a large group of copies are
+    # spread over SALTS keys.
+    sets = members.filter("size > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    sets = settle(sets.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig")), "sets")
+    groups = sets.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1").select("component", "component_id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = sets.join(groups, "component").select("sig", "component_id", salts)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = salted.join(named, (salted["size"] > 0) & (salted["sig"] == named["sig"]) & (salted["salt"] == named["salt"]), "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def oracle_sql(n: int, num: int, den: int) -> str:
