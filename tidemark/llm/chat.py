@@ -11,7 +11,7 @@ occur there; one pass from left to right undoes it. So the turns, and the loss m
 assistants' texts, can be read back exactly.
 
 Defined results: a null text or role is the empty one; turns sort by (turn, role, text), null turns
-first, so ties and repeated rows have one order; rows with a null conv_id form one conversation; an
+first, so ties and repeated rows have one order; very long texts are formatted whole; rows with a null conv_id form one conversation; an
 empty table gives an empty result; further columns are ignored. A conversation is one output string,
 so all of its turns meet in one row: a conversation must fit a row (2 GB).
 """

@@ -7,8 +7,10 @@ repeated lines, is held against a limit for each length. Memory is bounded by th
 shuffled.
 
 Defined results: a null or empty text has no words and fails the base; a text of fewer words than
-an n-gram has no such n-gram; repeated rows are judged each; an empty table gives an empty result;
-further columns are ignored. Very long texts are handled whole, one at a time.
+an n-gram has no such n-gram; of lines that are equal the first counts as the original; shares that
+tie with a limit pass; repeated rows are judged each; an empty table gives an empty result; further
+columns are ignored. Very long texts are handled whole, one at a time, so a text's words must fit a
+worker. Words, lines and n-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ the heap. The count is the number of initial symbols less the number of merges,
 identifiers is made. A pretoken of n bytes takes O(n log n), however long it is.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is
-one token, as by the tokenizer's default; rows that repeat are counted each; an empty table gives
-an empty result; further columns of the input are ignored.
+one token, as by the tokenizer's default; very long texts are counted whole; pairs of one rank tie and
+merge from the left; rows that repeat are counted each; an empty table gives an empty result; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
