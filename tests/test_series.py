@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
 from tidemark.operators import relational as R
+from tidemark.operators import strategy as T
 from tidemark.operators.recursive import affine_indicators, supertrend
 from tidemark.operators.strategy import exits
 from tidemark.streaming.ingest import apply_delta
@@ -128,3 +129,29 @@ def test_book_gap_and_removal():
     rows = pd.DataFrame({"seq": [1, 2, 4], "prev": [0, 1, 3], "prices": [[1.0, 2.0], [1.0], [3.0]], "amounts": [[1.0, 1.0], [0.0], [1.0]]})
     out = next(apply_delta(("s",), iter([rows]), State()))
     assert out["n_levels"].tolist() == [2, 1, 1] and out["gap"].tolist() == [False, False, True]
+
+
+@pytest.mark.parametrize("span", [2, 40])
+def test_windows_do_not_depend_on_spans(spark, span):
+    """Series with gaps of many spans, of several timeframes, cut into spans, give what each gives whole."""
+    rng = np.random.default_rng(span)
+    rows, t = [], dt.datetime(2024, 1, 1)
+    for name, timeframe, n in (("x", "1d", 190), ("x", "1w", 90), ("y", "1d", 30), ("z", "?", 1), (None, "1d", 60)):
+        close = 100 + np.cumsum(rng.normal(0, 3, n))
+        step = 7 if timeframe == "1w" else 1
+        rows += [(name, timeframe, t + dt.timedelta(days=i * step + (i > 50) * 200 + (i > 60) * 77), c, c + 2 + i % 3, c - 1.5, c, 1.0 + i % 7) for i, c in enumerate(close.tolist())]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    keys = ["instrument", "timeframe", "ts"]
+    for f in (ind.rolling_indicators, ind.running_indicators, ind.hull, ind.ichimoku, ind.displaced_averages, T.average_crosses, T.breakouts, T.threshold_signals, T.line_breaks, T.rising_odds):
+        one, cut = (f(df, span=k).drop("tps") for k in (100_000, span))
+        order = [*keys, *(["metric"] if "metric" in one.columns else [])]
+        one, cut = (x.orderBy(*order).toPandas() for x in (one, cut))
+        assert len(one) > 0
+        pd.testing.assert_frame_equal(one, cut, rtol=1e-9)
+    whole = ind.with_rolling(df).drop("tps").orderBy(*keys).toPandas()
+    pd.testing.assert_frame_equal(whole, ind.rolling_indicators(df, span=span).drop("tps").orderBy(*keys).toPandas(), rtol=1e-9)
+    newest = ind.last_bar(ind.rolling_indicators(df)).drop("tps").orderBy(*keys).toPandas()
+    latest = ind.latest_indicators(df).drop("tps").orderBy(*keys).toPandas()
+    pd.testing.assert_frame_equal(newest, latest[newest.columns], rtol=1e-9)
+    sums = ind.last_bar(ind.running_indicators(df)).orderBy(*keys).toPandas()
+    pd.testing.assert_frame_equal(sums, latest[sums.columns], rtol=1e-9)

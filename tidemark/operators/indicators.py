@@ -1,11 +1,12 @@
-"""Technical indicators as window expressions: one exchange and one sort for a series."""
+"""Technical indicators as window expressions: one exchange and one sort for a span of a series."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import KEY, gated, highest, lag, last, lowest, newest_first, rolling_sum, series, sma, whole
+from tidemark.functions.rolling import KEY, gated, highest, lag, last, lowest, newest_first, rolling_sum, series, sma
+from tidemark.operators.spans import SPAN, by_key, in_spans, running_sums
 
 # Lengths and displacements of averages, ratios of retracement.
 DMA_COMBINATIONS = ((3, 3), (7, 5), (25, 5))
@@ -31,7 +32,7 @@ def v():
 def base(bars: DataFrame) -> DataFrame:
     """Columns that several indicators need, computed once."""
     before = lag(c())
-    return bars.withColumns({"before": before, "tp": (h() + l() + c()) / 3, "nth": F.row_number().over(series())}).withColumns({
+    return bars.withColumns({"before": before, "tp": (h() + l() + c()) / 3}).withColumns({
         "gain": F.greatest(F.coalesce(c() - F.col("before"), F.lit(0.0)), F.lit(0.0)),
         "loss": F.greatest(F.coalesce(F.col("before") - c(), F.lit(0.0)), F.lit(0.0)),
         "tr": F.greatest(h() - l(), F.abs(h() - F.col("before")), F.abs(l() - F.col("before"))),
@@ -57,10 +58,6 @@ def cci(n: int = 20):
     return F.try_divide(F.col("tp") - F.col("tp_mean"), 0.015 * apart)
 
 
-def obv():
-    return F.sum(F.coalesce(F.signum(c() - F.col("before")) * v(), F.lit(0.0))).over(series().rowsBetween(Window.unboundedPreceding, 0))
-
-
 def wma(x, n: int):
     """Weights 1..n, the newest heaviest."""
     return gated(F.sum(x), x, n).isNotNull(), sum((F.lag(x, k).over(series()) * (n - k) for k in range(1, n)), x * n) / (n * (n + 1) / 2)
@@ -71,38 +68,83 @@ def gated_wma(x, n: int):
     return F.when(full, value)
 
 
-def displaced_averages(bars: DataFrame) -> DataFrame:
+def first_steps(bars: DataFrame) -> DataFrame:
+    """KEY and the seconds between the first two bars of each series; series of one bar have none."""
+    first = bars.select(*KEY, "ts").withColumn("_nth", F.row_number().over(series())).filter("_nth <= 2")
+    ends = first.groupBy(*KEY).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("second_ts"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    return ends.select(*KEY, F.timestamp_diff("SECOND", "first_ts", "second_ts").alias("step"))
+
+
+def displaced_averages(bars: DataFrame, span: int = SPAN) -> DataFrame:
     """instrument, timeframe, metric, ts, value: the mean of the last p closes, stored d steps later. A step is
     the time between the first two bars of the series; series of one bar have none."""
-    rows = bars.withColumns({f"dma_{p}x{d}": sma(c(), p) for p, d in DMA_COMBINATIONS})
-    rows = rows.withColumns({"first_ts": F.min("ts").over(whole()), "second_ts": F.nth_value("ts", 2).over(series().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    step = F.timestamp_diff("SECOND", "first_ts", "second_ts")
+    means = {f"dma_{p}x{d}": sma(c(), p) for p, d in DMA_COMBINATIONS}
+    rows = in_spans(bars.select(*KEY, "ts", "close"), max(p for p, _ in DMA_COMBINATIONS) - 1, lambda x: x.withColumns(means), span)
+    steps, same = by_key(first_steps(bars), *KEY)
     entries = F.array(*[F.struct(F.lit(f"DMA_{p}x{d}").alias("metric"), F.lit(d).alias("d"), F.col(f"dma_{p}x{d}").alias("value")) for p, d in DMA_COMBINATIONS])
-    long = rows.filter("second_ts is not null").select(*KEY, "ts", step.alias("step"), F.explode(entries).alias("e")).filter("e.value is not null")
+    long = rows.join(steps, same(rows)).select(*KEY, "ts", "step", F.explode(entries).alias("e")).filter("e.value is not null")
     return long.select(*KEY, F.col("e.metric").alias("metric"), F.timestamp_add("SECOND", F.col("step") * F.col("e.d"), "ts").alias("ts"), F.col("e.value").alias("value"))
 
 
-def rolling_indicators(bars: DataFrame) -> DataFrame:
-    """The wide frame of all window indicators."""
+def with_rolling(bars: DataFrame) -> DataFrame:
+    """bars with all indicators of bounded windows; the longest one sees ROLLING_BACK rows before its own."""
     rows = base(bars)
     rows = rows.withColumns({
-        "sma9": sma(c(), 9), "sma21": sma(c(), 21), "rsi14": rsi(), "k14": stochastic_k(), "williams14": williams_r(), "tp_mean": sma(F.col("tp"), 20), "tps": F.collect_list("tp").over(last(20)), "atr14": sma(F.col("tr"), 14), "obv": obv(),
-        "boll_mid": sma(c(), 20), "boll_dev": gated(F.stddev_pop(c()), c(), 20), "donchian_high": highest(h(), 20), "donchian_low": lowest(l(), 20),
-        "vwap": F.try_divide(F.sum(F.col("tp") * v()).over(series().rowsBetween(Window.unboundedPreceding, 0)), F.sum(v()).over(series().rowsBetween(Window.unboundedPreceding, 0))),
+        "sma9": sma(c(), 9), "sma14": sma(c(), 14), "sma21": sma(c(), 21), "sma50": sma(c(), 50), "rsi14": rsi(), "k14": stochastic_k(), "williams14": williams_r(), "tp_mean": sma(F.col("tp"), 20),
+        "tps": F.collect_list("tp").over(last(20)), "atr14": sma(F.col("tr"), 14), "boll_mid": sma(c(), 20), "boll_dev": gated(F.stddev_pop(c()), c(), 20), "donchian_high": highest(h(), 20), "donchian_low": lowest(l(), 20),
         "mf": F.coalesce(F.try_divide((c() - l()) - (h() - c()), h() - l()), F.lit(0.0)) * v(),
     })
     return rows.withColumns({"cci20": cci(), "d3": sma(F.col("k14"), 3), "prediction": F.col("sma9") - F.col("sma21"), "boll_up": F.col("boll_mid") + 2 * F.col("boll_dev"), "boll_low": F.col("boll_mid") - 2 * F.col("boll_dev"), "cmf20": F.try_divide(rolling_sum(F.col("mf"), 20), rolling_sum(v(), 20))})
 
 
-def hull(bars: DataFrame, n: int = 21) -> DataFrame:
-    raw = bars.withColumn("raw", 2 * gated_wma(c(), n // 2) - gated_wma(c(), n))
-    return raw.withColumn("hma", gated_wma(F.col("raw"), int(n**0.5)))
+#: Rows before its own that any rolling indicator sees.
+ROLLING_BACK = 50
+
+
+def rolling_indicators(bars: DataFrame, span: int = SPAN) -> DataFrame:
+    """The wide frame of all indicators of bounded windows, span by span."""
+    return in_spans(bars, ROLLING_BACK, with_rolling, span)
+
+
+def flows(bars: DataFrame, span: int = SPAN) -> DataFrame:
+    """KEY, ts and what a bar adds to the running indicators: volume by the direction of the close, typical
+    price by volume, volume."""
+    rows = in_spans(bars.select(*KEY, "ts", "high", "low", "close", "volume"), 1, base, span)
+    signed = F.coalesce(F.signum(c() - F.col("before")) * v(), F.lit(0.0))
+    return rows.select(*KEY, "ts", signed.alias("obv"), (F.col("tp") * v()).alias("turnover"), "volume")
+
+
+def running_indicators(bars: DataFrame, span: int = SPAN) -> DataFrame:
+    """KEY, ts, obv and vwap: sums from the beginning of each series."""
+    sums = running_sums(flows(bars, span), ["obv", "turnover", "volume"], span)
+    return sums.select(*KEY, "ts", "obv", F.try_divide("turnover", "volume").alias("vwap"))
 
 
-def ichimoku(bars: DataFrame) -> DataFrame:
+def latest_indicators(bars: DataFrame) -> DataFrame:
+    """The last bar of each series with all its indicators, rolling and running ones: from the newest rows
+    and from sums, without a window over a whole series."""
+    newest = last_bar(with_rolling(last_rows(bars, ROLLING_BACK + 1)))
+    sums = flows(bars).groupBy(*KEY).agg(F.sum("obv").alias("obv"), F.try_divide(F.sum("turnover"), F.sum("volume")).alias("vwap"))
+    sums, same = by_key(sums, *KEY)
+    return newest.join(sums, same(newest)).drop(*[f"_of_{k}" for k in KEY])
+
+
+def hull(bars: DataFrame, n: int = 21, span: int = SPAN) -> DataFrame:
+    smooth = int(n**0.5)
+
+    def add(x: DataFrame) -> DataFrame:
+        return x.withColumn("raw", 2 * gated_wma(c(), n // 2) - gated_wma(c(), n)).withColumn("hma", gated_wma(F.col("raw"), smooth))
+
+    return in_spans(bars, n + smooth - 2, add, span)
+
+
+def ichimoku(bars: DataFrame, span: int = SPAN) -> DataFrame:
     mid = lambda n: (highest(h(), n) + lowest(l(), n)) / 2
-    spans = bars.withColumns({"a": mid(9), "b": mid(52)})
-    return spans.withColumns({"span_a": lag(F.col("a"), 26), "span_b": lag(F.col("b"), 26)})
+
+    def add(x: DataFrame) -> DataFrame:
+        return x.withColumns({"a": mid(9), "b": mid(52)}).withColumns({"span_a": lag(F.col("a"), 26), "span_b": lag(F.col("b"), 26)})
+
+    return in_spans(bars, 51 + 26, add, span)
 
 
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
@@ -136,13 +178,13 @@ def named_snapshot(bars: DataFrame) -> DataFrame:
     from tidemark.operators.recursive import affine_indicators
 
     spread = h() - l()
-    top, bottom = F.max(h()).over(last(50)), F.min(l()).over(last(50))
-    rows = rolling_indicators(bars).withColumns({
-        "sma14": sma(c(), 14), "sma50": sma(c(), 50), "op": c(), "xop": h() + 1.618 * spread, "cop": h() - 0.5 * spread,
-        "support": bottom + (top - bottom) * FIB_RATIOS[-1], "resistance": top - (top - bottom) * FIB_RATIOS[-1],
-    })
+    ends = last_rows(bars, 50).groupBy(*KEY).agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+    ends, same = by_key(ends, *KEY)
+    newest = latest_indicators(bars)
+    band = (F.col("top") - F.col("bottom")) * FIB_RATIOS[-1]
+    newest = newest.join(ends, same(newest)).withColumns({"op": c(), "xop": h() + 1.618 * spread, "cop": h() - 0.5 * spread, "support": F.col("bottom") + band, "resistance": F.col("top") - band})
     recurring = ("ema9", "macd", "macd_signal", "macd_hist", "ama14")
-    newest = last_bar(rows.select(*KEY, "ts", *[x for x in SNAPSHOT.values() if x not in recurring]))
+    newest = newest.select(*KEY, "ts", *[x for x in SNAPSHOT.values() if x not in recurring])
     newest = newest.join(affine_indicators(bars, names=recurring), [*KEY, "ts"])
     entries = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(column).alias("value")) for name, column in SNAPSHOT.items()])
     return newest.select(*KEY, "ts", F.inline(entries)).filter("value is not null and not isnan(value)")

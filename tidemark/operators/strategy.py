@@ -5,42 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import KEY, lag, series, sma, whole
+from tidemark.functions.rolling import KEY, lag, series, sma
 from tidemark.operators import indicators as ind
+from tidemark.operators.spans import SPAN, by_key, in_spans, running_sums
 
 
-def average_crosses(bars: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
+def average_crosses(bars: DataFrame, fast: int = 9, slow: int = 21, span: int = SPAN) -> DataFrame:
     """instrument, ts, close, side: bars where the fast mean goes over (1) or under (-1) the slow."""
-    rows = bars.withColumn("gap", F.signum(sma(F.col("close"), fast) - sma(F.col("close"), slow)))
-    rows = rows.withColumn("gap_before", lag(F.col("gap")))
+
+    def add(x: DataFrame) -> DataFrame:
+        return x.withColumn("gap", F.signum(sma(F.col("close"), fast) - sma(F.col("close"), slow))).withColumn("gap_before", lag(F.col("gap")))
+
+    rows = in_spans(bars, max(fast, slow), add, span)
     return rows.filter("gap <> gap_before and gap <> 0").select(*KEY, "ts", "close", F.col("gap").cast("int").alias("side"))
 
 
-def breakouts(bars: DataFrame, n: int = 20) -> DataFrame:
+def breakouts(bars: DataFrame, n: int = 20, span: int = SPAN) -> DataFrame:
     """Closes above the high, or below the low, of the n bars before."""
     w = series().rowsBetween(-n, -1)
-    rows = bars.withColumns({"n": F.count("high").over(w), "top": F.max("high").over(w), "bottom": F.min("low").over(w)}).filter(F.col("n") == n)
+    rows = in_spans(bars, n, lambda x: x.withColumns({"n": F.count("high").over(w), "top": F.max("high").over(w), "bottom": F.min("low").over(w)}), span).filter(F.col("n") == n)
     side = F.when(F.col("close") > F.col("top"), 1).when(F.col("close") < F.col("bottom"), -1)
     return rows.withColumn("side", side).filter("side is not null").select(*KEY, "ts", "close", "side")
 
 
-def threshold_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0) -> DataFrame:
+def threshold_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0, span: int = SPAN) -> DataFrame:
     """instrument, ts, price, side: bars where the RSI enters the zone under low (BUY) or over high
     (SELL)."""
-    rows = ind.base(bars).withColumn("rsi", ind.rsi(n))
-    rows = rows.withColumn("side", F.when(F.col("rsi") < low, "BUY").when(F.col("rsi") > high, "SELL"))
-    rows = rows.withColumn("side_before", lag(F.col("side")))
+
+    def add(x: DataFrame) -> DataFrame:
+        rows = ind.base(x).withColumn("rsi", ind.rsi(n))
+        rows = rows.withColumn("side", F.when(F.col("rsi") < low, "BUY").when(F.col("rsi") > high, "SELL"))
+        return rows.withColumn("side_before", lag(F.col("side")))
+
+    rows = in_spans(bars, n + 1, add, span)
     return rows.filter(F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("side_before"))).select(*KEY, "ts", F.col("close").alias("price"), "side")
 
 
-def line_breaks(bars: DataFrame) -> DataFrame:
+def line_breaks(bars: DataFrame, span: int = SPAN) -> DataFrame:
     """Bars whose close crosses the straight line from the first to the last close of the series."""
-    w = whole()
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = bars.withColumns({"at": at, "c0": F.min_by("close", "ts").over(w), "c1": F.max_by("close", "ts").over(w)})
-    rows = rows.withColumns({"t0": F.min("at").over(w), "t1": F.max("at").over(w)})
+    rows = bars.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    ends = rows.groupBy(*KEY).agg(F.min_by("close", "ts").alias("c0"), F.max_by("close", "ts").alias("c1"), F.min("at").alias("t0"), F.max("at").alias("t1"))
+    ends, same = by_key(ends, *KEY)
     line = F.col("c0") + (F.col("c1") - F.col("c0")) * F.try_divide(F.col("at") - F.col("t0"), F.col("t1") - F.col("t0"))
-    rows = rows.withColumn("side", F.signum(F.col("close") - line)).withColumn("before", lag(F.col("side")))
+    rows = rows.join(ends, same(rows)).select(*KEY, "ts", F.signum(F.col("close") - line).alias("side"))
+    rows = in_spans(rows, 1, lambda x: x.withColumn("before", lag(F.col("side"))), span)
     return rows.filter("side <> before and side <> 0 and before <> 0").select(*KEY, "ts", F.col("side").cast("int").alias("side"))
 
 
@@ -108,12 +116,11 @@ def exits(bars: DataFrame, crosses: DataFrame, target: float = 0.02, stop: float
     return ends.select(*KEY, F.col("entry_ts").alias("ts"), "side", F.col("end.ts").alias("exit_ts"), F.col("end.kind").alias("exit_kind"))
 
 
-def rising_odds(bars: DataFrame, a: float = 1.0, b: float = 1.0) -> DataFrame:
+def rising_odds(bars: DataFrame, a: float = 1.0, b: float = 1.0, span: int = SPAN) -> DataFrame:
     """The mean of the Beta posterior that a bar closes higher, or doesn't, by all bars so far, and a
     confidence that grows from 0 with the weight of the posterior."""
-    rows = bars.withColumn("before", lag(F.col("close")))
-    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
-    up, n = F.count_if(F.col("close") > F.col("before")).over(so_far), F.count("before").over(so_far)
-    rows = rows.withColumns({"up": up, "n": n})
+    rows = in_spans(bars.select(*KEY, "ts", "close"), 1, lambda x: x.withColumn("before", lag(F.col("close"))), span)
+    up, n = F.coalesce(F.col("close") > F.col("before"), F.lit(False)).cast("int"), F.col("before").isNotNull().cast("int")
+    rows = running_sums(rows.select(*KEY, "ts", up.alias("up"), n.alias("n")), ["up", "n"], span)
     odds = (F.col("up") + a) / (F.col("n") + a + b)
     return rows.select(*KEY, "ts", odds.alias("prob_up"), (1 - odds).alias("prob_down"), (1 - 1 / F.sqrt(F.col("n") + a + b)).alias("confidence"))

@@ -105,7 +105,7 @@ def cci(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT instrument, ts, {r('sum(coalesce(sign(close - before) * volume, 0)) OVER (PARTITION BY instrument ORDER BY ts ROWS UNBOUNDED PRECEDING)', 'obv')} FROM base")
 def obv(spark, sf_dir):
-    return rolling(spark, sf_dir, "obv")
+    return ind.running_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", *rounded("obv"))
 
 
 @query(f"WITH {BASE} SELECT instrument, ts, {r(gate('avg', 'tr', 14), 'atr14')} FROM base")
@@ -130,7 +130,7 @@ ALL_BEFORE = "OVER (PARTITION BY instrument ORDER BY ts ROWS UNBOUNDED PRECEDING
 
 @query(f"WITH {BASE} SELECT instrument, ts, {r(f'sum(tp * volume) {ALL_BEFORE} / nullif(sum(volume) {ALL_BEFORE}, 0) + {TIE}', 'vwap')} FROM base")
 def vwap(spark, sf_dir):
-    return ind.rolling_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", F.round(F.col("vwap") + TIE, 4).alias("vwap"))
+    return ind.running_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", F.round(F.col("vwap") + TIE, 4).alias("vwap"))
 
 
 @query(f"WITH {BASE}, m AS (SELECT *, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS mf FROM base) SELECT instrument, ts, {r('(' + gate('sum', 'mf', 20) + ') / nullif(' + gate('sum', 'volume', 20) + ', 0)', 'cmf20')} FROM m")
@@ -266,6 +266,5 @@ f AS (SELECT *, {gate('avg', 'k14', 3)} AS d3, row_number() OVER (PARTITION BY i
 
 @query(f"WITH {WIDE} SELECT instrument, ts, metric, {r('value', 'value')} FROM (UNPIVOT (SELECT instrument, ts, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in SNAPSHOT)} FROM f WHERE newest = 1) ON {', '.join(SNAPSHOT)} INTO NAME metric VALUE value)")
 def snapshot_long(spark, sf_dir):
-    wide = ind.rolling_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", *SNAPSHOT)
-    latest = wide.groupBy("instrument").agg(F.max_by(F.struct(*wide.columns[1:]), "ts").alias("row")).select("instrument", "row.*")
+    latest = ind.latest_indicators(B.orders_daily(spark, sf_dir)).select("instrument", "ts", *SNAPSHOT)
     return latest.unpivot(["instrument", "ts"], list(SNAPSHOT), "metric", "value").filter("value is not null").select("instrument", "ts", "metric", *rounded("value"))
