@@ -132,3 +132,9 @@ def filled(template: str, **values: Column) -> Column:
     stay as they are; a missing value shows as N/A."""
     parts = [F.coalesce(values[p[1:-1]].cast("string"), F.lit("N/A")) if p[1:-1] in values and p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template)]
     return F.concat(*parts)
+
+
+def source_symbol(symbol: Column, names: dict[str, str], quote: str = "USDT") -> Column:
+    """A symbol's name at a source: that of a map of names, or else with / before the quote currency."""
+    cut = F.concat(F.substring(symbol, F.lit(1), F.length(symbol) - len(quote)), F.lit(f"/{quote}"))
+    return looked_up(symbol, names, F.when(F.endswith(symbol, F.lit(quote)), cut).otherwise(symbol))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import KEY, gated, highest, lag, last, lowest, newest_first, rolling_sum, series, sma
@@ -120,6 +120,13 @@ def running_indicators(bars: DataFrame, span: int = SPAN) -> DataFrame:
     return sums.select(*KEY, "ts", "obv", F.try_divide("turnover", "volume").alias("vwap"))
 
 
+def daily_vwap(bars: DataFrame) -> DataFrame:
+    """KEY, ts and vwap from the beginning of each day, by windows of a day's rows."""
+    so_far = Window.partitionBy(*KEY, F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    tp = (h() + l() + c()) / 3
+    return bars.select(*KEY, "ts", F.try_divide(F.sum(tp * v()).over(so_far), F.sum(v()).over(so_far)).alias("vwap"))
+
+
 def latest_indicators(bars: DataFrame) -> DataFrame:
     """The last bar of each series with all its indicators, rolling and running ones: from the newest rows
     and from sums, without a window over a whole series."""

@@ -113,3 +113,23 @@ def newer_than_mark(incoming: DataFrame, stored: DataFrame, key: str, ts: str) -
     """Incoming rows later than the last stored one of their key; all rows of a key not stored yet."""
     marks = stored.groupBy(F.col(key).alias("mark_key")).agg(F.max(ts).alias("mark"))
     return incoming.join(marks, F.col(key) == F.col("mark_key"), "left").filter(F.col("mark").isNull() | (F.col(ts) > F.col("mark"))).drop("mark_key", "mark")
+
+
+def name_set(names: DataFrame, column: str) -> DataFrame:
+    """The distinct names without regard to case, in lower case; null is no name."""
+    return names.select(F.lower(column).alias(column)).filter(F.col(column).isNotNull()).distinct()
+
+
+def unknown_names(candidates: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Candidates whose name isn't among the known ones in any case of letters; a null name is unknown."""
+    seen = name_set(known, column).withColumnRenamed(column, "_known")
+    return candidates.join(seen, F.lower(candidates[column]) == seen["_known"], "left_anti")
+
+
+def page(rows: DataFrame, key: str, size: int, from_key=None, way: str = "next") -> DataFrame:
+    """The rows after a key in ascending order, or with way "prev" those before it in descending order."""
+    if way not in ("next", "prev"):
+        raise ValueError(f"a page is next or prev, not {way}")
+    k = F.col(key)
+    beyond = F.lit(True) if from_key is None else k > from_key if way == "next" else k < from_key
+    return rows.filter(beyond).orderBy(k.asc() if way == "next" else k.desc()).limit(size)
