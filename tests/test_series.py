@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import chart
 from tidemark.operators import indicators as ind
 from tidemark.operators import relational as R
 from tidemark.operators import strategy as T
@@ -142,9 +143,9 @@ def test_windows_do_not_depend_on_spans(spark, span):
         rows += [(name, timeframe, t + dt.timedelta(days=i * step + (i > 50) * 200 + (i > 60) * 77), c, c + 2 + i % 3, c - 1.5, c, 1.0 + i % 7) for i, c in enumerate(close.tolist())]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     keys = ["instrument", "timeframe", "ts"]
-    for f in (ind.rolling_indicators, ind.running_indicators, ind.hull, ind.ichimoku, ind.displaced_averages, T.average_crosses, T.breakouts, T.threshold_signals, T.line_breaks, T.rising_odds):
+    for f in (ind.rolling_indicators, ind.running_indicators, ind.hull, ind.ichimoku, ind.displaced_averages, T.average_crosses, T.breakouts, T.threshold_signals, T.line_breaks, T.rising_odds, T.drawdown, chart.decimated):
         one, cut = (f(df, span=k).drop("tps") for k in (100_000, span))
-        order = [*keys, *(["metric"] if "metric" in one.columns else [])]
+        order = [c for c in (*keys, "metric") if c in one.columns]
         one, cut = (x.orderBy(*order).toPandas() for x in (one, cut))
         assert len(one) > 0
         pd.testing.assert_frame_equal(one, cut, rtol=1e-9)
@@ -155,3 +156,15 @@ def test_windows_do_not_depend_on_spans(spark, span):
     pd.testing.assert_frame_equal(newest, latest[newest.columns], rtol=1e-9)
     sums = ind.last_bar(ind.running_indicators(df)).orderBy(*keys).toPandas()
     pd.testing.assert_frame_equal(sums, latest[sums.columns], rtol=1e-9)
+    crosses = T.average_crosses(df, 3, 7)
+    held = [T.trades(crosses, k) for k in (100_000, span)]
+    one, cut = (x.orderBy(*keys).toPandas() for x in held)
+    pd.testing.assert_frame_equal(one, cut)
+    plain = crosses.toPandas().sort_values(keys, na_position="first")
+    plain["exit"] = plain.groupby(keys[:2], dropna=False)["close"].shift(-1)
+    assert one["exit"].tolist() == plain["exit"].dropna().tolist()
+    figures = [T.backtest(x, k).orderBy(*keys[:2]).toPandas() for x, k in zip(held, (100_000, span), strict=True)]
+    pd.testing.assert_frame_equal(*figures, rtol=1e-9)
+    equity = one.assign(equity=one.groupby(keys[:2], dropna=False)["profit"].cumsum())
+    falls = equity.assign(fall=equity.groupby(keys[:2], dropna=False)["equity"].cummax().clip(lower=0) - equity["equity"]).groupby(keys[:2], dropna=False)["fall"].max()
+    assert sorted(figures[1]["max_drawdown"]) == pytest.approx(sorted(falls))

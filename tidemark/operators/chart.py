@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import KEY, newest_first, whole
+from tidemark.functions.rolling import KEY
+from tidemark.operators.spans import SPAN, by_key, running
 
 PRICES = ("open", "high", "low", "close")
 
@@ -13,22 +14,24 @@ PRICES = ("open", "high", "low", "close")
 def valid_series(bars: DataFrame) -> DataFrame:
     """Rows without a null, of series without any price at or below zero."""
     rows = bars.na.drop("any")
-    least = F.min(F.least(*PRICES)).over(whole())
-    return rows.withColumn("least", least).filter("least > 0").drop("least")
+    valid, same = by_key(rows.groupBy(*KEY).agg(F.min(F.least(*PRICES)).alias("_least")).filter("_least > 0"), *KEY)
+    return rows.join(valid, same(rows), "left_semi")
 
 
-def decimated(bars: DataFrame, most: int = 500) -> DataFrame:
+def decimated(bars: DataFrame, most: int = 500, span: int = SPAN) -> DataFrame:
     """At most so many bars of a series, evenly spaced, counted back from the newest one."""
-    rows = bars.withColumns({"back": F.row_number().over(newest_first()) - 1, "n": F.count(F.lit(1)).over(whole())})
+    rows = running(bars.withColumn("nth", F.lit(1)), ("nth",), span=span)
+    sizes, same = by_key(bars.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), *KEY)
     step = F.ceil(F.col("n") / most)
-    return rows.filter(F.col("back") % step == 0).drop("back", "n")
+    return rows.join(sizes, same(rows)).filter((F.col("n") - F.col("nth")) % step == 0).select(*bars.columns)
 
 
 def candle_shapes(bars: DataFrame) -> DataFrame:
     """Colour and body height of each candle."""
     from tidemark.functions.scalars import body
 
-    rows = bars.withColumn("whole", F.max("high").over(whole()) - F.min("low").over(whole()))
+    heights, same = by_key(bars.groupBy(*KEY).agg((F.max("high") - F.min("low")).alias("whole")), *KEY)
+    rows = bars.join(heights, same(bars))
     rising = F.when(F.col("close") >= F.col("open"), "bull").otherwise("bear")
     return rows.select(*KEY, "ts", rising.alias("colour"), body(*map(F.col, PRICES), F.col("whole")).alias("body"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import KEY, gated, highest, lag, last, lowest, newest_first, rolling_sum, series, sma
-from tidemark.operators.spans import SPAN, by_key, in_spans, running_sums
+from tidemark.operators.spans import SPAN, by_key, in_spans, running
 
 # Lengths and displacements of averages, ratios of retracement.
 DMA_COMBINATIONS = ((3, 3), (7, 5), (25, 5))
@@ -116,7 +116,7 @@ def flows(bars: DataFrame, span: int = SPAN) -> DataFrame:
 
 def running_indicators(bars: DataFrame, span: int = SPAN) -> DataFrame:
     """KEY, ts, obv and vwap: sums from the beginning of each series."""
-    sums = running_sums(flows(bars, span), ["obv", "turnover", "volume"], span)
+    sums = running(flows(bars, span), ("obv", "turnover", "volume"), span=span)
     return sums.select(*KEY, "ts", "obv", F.try_divide("turnover", "volume").alias("vwap"))
 
 

@@ -64,15 +64,18 @@ def in_spans(bars: DataFrame, look_back: int, f: Callable[[DataFrame], DataFrame
     return out.filter("_own").withColumn("instrument", F.col("instrument.instrument")).drop("_span", "_own")
 
 
-def running_sums(rows: DataFrame, names: list[str], span: int = SPAN) -> DataFrame:
-    """rows(KEY, ts, ...) whose columns of these names hold the sum of the series up to and with the row."""
+def running(rows: DataFrame, sums: tuple[str, ...] = (), maxima: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """rows(KEY, ts, ...) whose columns of these names hold the sum, or the largest value, of the series up to
+    and with the row."""
+    of = dict.fromkeys(sums, F.sum) | dict.fromkeys(maxima, F.max)
     cut = rows.withColumn("_span", span_of(span))
     before = Window.partitionBy(*KEY).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*KEY, "_span").agg(*[F.sum(n).alias(f"_sum_{n}") for n in names])
-    totals = totals.select(*KEY, "_span", *[F.sum(f"_sum_{n}").over(before).alias(f"_before_{n}") for n in names])
-    totals, same = by_key(totals, *KEY, "_span")
+    ends = cut.groupBy(*KEY, "_span").agg(*[f(n).alias(f"_end_{n}") for n, f in of.items()])
+    ends = ends.select(*KEY, "_span", *[f(f"_end_{n}").over(before).alias(f"_before_{n}") for n, f in of.items()])
+    ends, same = by_key(ends, *KEY, "_span")
     so_far = Window.partitionBy(*KEY, "_span").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumns({n: F.sum(n).over(so_far) for n in names})
-    out = out.join(totals, same(out))
-    whole = {n: F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}")) for n in names}
+    out = cut.withColumns({n: f(n).over(so_far) for n, f in of.items()})
+    out = out.join(ends, same(out))
+    both = {n: (F.col(n), F.col(f"_before_{n}")) for n in of}
+    whole = {n: F.greatest(x, y) if n in maxima else F.coalesce(x + y, x, y) for n, (x, y) in both.items()}
     return out.withColumns(whole).select(*rows.columns)

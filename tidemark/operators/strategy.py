@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import KEY, lag, series, sma
 from tidemark.operators import indicators as ind
-from tidemark.operators.spans import SPAN, by_key, in_spans, running_sums
+from tidemark.operators.relational import as_of
+from tidemark.operators.spans import SPAN, by_key, in_spans, running
 
 
 def average_crosses(bars: DataFrame, fast: int = 9, slow: int = 21, span: int = SPAN) -> DataFrame:
@@ -81,16 +82,28 @@ def without(strategies: list[tuple], index: int) -> list[tuple]:
     return strategies[:index] + strategies[index + 1 :] if 0 <= index < len(strategies) else strategies
 
 
-def trades(crosses: DataFrame) -> DataFrame:
+def held(crosses: DataFrame, span: int = SPAN) -> DataFrame:
+    """The crosses that another one of their series follows, with its price (exit) and time (next_ts)."""
+    entry = F.struct(*[c for c in crosses.columns if c not in KEY])
+    rows = in_spans(crosses, 1, lambda x: x.withColumn("entry", lag(entry)), span).filter("entry is not null")
+    return rows.select(*KEY, "entry.*", F.col("close").alias("exit"), F.col("ts").alias("next_ts"))
+
+
+def trades(crosses: DataFrame, span: int = SPAN) -> DataFrame:
     """Each cross is held until the next one: entry, exit and relative profit."""
-    rows = crosses.withColumn("exit", F.lead("close").over(series())).filter("exit is not null")
-    return rows.withColumn("profit", F.col("side") * (F.col("exit") / F.col("close") - 1))
+    return held(crosses, span).drop("next_ts").withColumn("profit", F.col("side") * (F.col("exit") / F.col("close") - 1))
+
+
+def drawdown(bars: DataFrame, span: int = SPAN) -> DataFrame:
+    """KEY and the largest fall of the close below the highest one before it, as a share of that."""
+    rows = running(bars.select(*KEY, "ts", "close", F.col("close").alias("peak")), maxima=("peak",), span=span)
+    return rows.groupBy(*KEY).agg(F.max((F.col("peak") - F.col("close")) / F.col("peak")).alias("drawdown"))
 
 
-def backtest(held: DataFrame) -> DataFrame:
+def backtest(held: DataFrame, span: int = SPAN) -> DataFrame:
     """Figures of the trades of each series; the drawdown is that of the summed profit."""
-    rows = held.withColumn("equity", F.sum("profit").over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("peak", F.greatest(F.max("equity").over(series().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    rows = running(held.withColumn("equity", F.col("profit")), ("equity",), span=span)
+    rows = running(rows.withColumn("peak", F.greatest("equity", F.lit(0.0))), maxima=("peak",), span=span)
     return rows.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("total_trades"), F.count_if(F.col("profit") > 0).alias("winning_trades"), F.count_if(F.col("profit") <= 0).alias("losing_trades"),
         F.sum("profit").alias("total_profit"), F.try_divide(F.count_if(F.col("profit") > 0), F.count(F.lit(1))).alias("win_rate"),
@@ -103,10 +116,10 @@ def exits(bars: DataFrame, crosses: DataFrame, target: float = 0.02, stop: float
     the trade reaches the target or the stop first (the stop, if one bar reaches both), or the next cross
     ends it. Without a stop only the target and the next cross do. Each bar looks at the trade it is in,
     so trades aren't joined with their bars."""
-    entry = crosses.select(*KEY, "ts", F.struct(F.col("ts").alias("ts"), F.col("close").alias("price"), "side", F.lead("ts").over(series()).alias("next_ts")).alias("trade"))
-    rows = bars.join(entry, [*KEY, "ts"], "left")
-    inside = F.last("trade", True).over(series().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("trade", inside).filter("trade.next_ts is not null and ts <= trade.next_ts")
+    # A trade begins after its bar, so it is looked up from a microsecond later on.
+    begins = (F.col("ts") + F.expr("interval 1 microsecond")).alias("ts")
+    entry = held(crosses).select(*KEY, begins, F.struct(F.col("ts").alias("ts"), F.col("close").alias("price"), "side", "next_ts").alias("trade"))
+    rows = as_of(bars, entry, [*KEY], "ts", "trade", "year").filter("ts <= trade.next_ts")
     price, side = F.col("trade.price"), F.col("trade.side")
     best = F.when(side > 0, F.col("high") / price - 1).otherwise(1 - F.col("low") / price)
     worst = F.when(side > 0, F.col("low") / price - 1).otherwise(1 - F.col("high") / price)
@@ -121,6 +134,6 @@ def rising_odds(bars: DataFrame, a: float = 1.0, b: float = 1.0, span: int = SPA
     confidence that grows from 0 with the weight of the posterior."""
     rows = in_spans(bars.select(*KEY, "ts", "close"), 1, lambda x: x.withColumn("before", lag(F.col("close"))), span)
     up, n = F.coalesce(F.col("close") > F.col("before"), F.lit(False)).cast("int"), F.col("before").isNotNull().cast("int")
-    rows = running_sums(rows.select(*KEY, "ts", up.alias("up"), n.alias("n")), ["up", "n"], span)
+    rows = running(rows.select(*KEY, "ts", up.alias("up"), n.alias("n")), ("up", "n"), span=span)
     odds = (F.col("up") + a) / (F.col("n") + a + b)
     return rows.select(*KEY, "ts", odds.alias("prob_up"), (1 - odds).alias("prob_down"), (1 - 1 / F.sqrt(F.col("n") + a + b)).alias("confidence"))

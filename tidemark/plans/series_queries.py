@@ -126,12 +126,7 @@ def exit_targets(spark, sf_dir):
 
 @query(f"WITH {BARS}, p AS (SELECT *, max(close) {ALL_BEFORE} AS peak FROM bars) SELECT instrument, {r('max((peak - close) / peak)', 'drawdown')} FROM p GROUP BY 1")
 def drawdown(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from tidemark.functions.rolling import series
-
-    rows = B.orders_daily(spark, sf_dir).withColumn("peak", F.max("close").over(series().rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("instrument").agg(F.round(F.max((F.col("peak") - F.col("close")) / F.col("peak")), 4).alias("drawdown"))
+    return T.drawdown(B.orders_daily(spark, sf_dir)).select("instrument", *rounded("drawdown"))
 
 
 @query(f"""WITH {BARS}, l AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS before FROM bars) SELECT instrument, ts, {r(f'(count(*) FILTER (close > before) {ALL_BEFORE} + 1.0) / (count(before) {ALL_BEFORE} + 2.0) + {TIE}', 'prob_up')},
