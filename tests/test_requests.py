@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import source_symbol
 from tidemark.operators import relational as R
-from tidemark.sources import alerts, signing
+from tidemark.sources import alerts, endpoints, signing
 from tidemark.streaming import silence
 
 T = dt.datetime(2024, 1, 31, 23, 59, 30)
@@ -82,3 +82,27 @@ def test_names_and_pages(spark):
         R.page(rows, "id", 3, 1, "down")
     got = [r[0] for r in spark.createDataFrame([("BTCUSDT",), ("XUSDT",), ("USDT",), ("abc",), (None,)], "s string").coalesce(1).select(source_symbol(F.col("s"), {"XUSDT": "X-USD"})).collect()]
     assert got == ["BTC/USDT", "X-USD", "/USDT", "abc", None]
+
+
+def test_endpoints(spark):
+    one = spark.range(1)
+    url = lambda name, **p: one.select(endpoints.request_url(name, "https://x", **p)).first()[0]
+    assert url("depth", symbol=F.lit("a b"), type=F.lit("step0"), depth=F.lit(None)) == "https://x/market/depth?symbol=a%20b&type=step0"
+    assert url("detail", symbol=F.lit(None)) is None and url("timestamp") == "https://x/v1/common/timestamp"
+    for bad in ({}, {"symbol": F.lit("a"), "size": F.lit(1)}):
+        with pytest.raises(ValueError):
+            endpoints.request_url("detail", "https://x", **bad)
+
+    def read(name, *bodies):
+        rows = spark.createDataFrame(list(enumerate(bodies)), "k int, body string").coalesce(1)
+        return [(r.k, r.record) for r in endpoints.records(rows, name).collect()]
+
+    got = read("merged", '{"status": "ok", "tick": {"id": 7, "bid": [1.5, 2], "close": 3}}', '{"status": "error", "tick": {"id": 8}}', "no json", None, '{"status": "ok"}')
+    assert [(k, r["id"], r["bid"], r["close"]) for k, r in got] == [(0, 7, [1.5, 2.0], 3.0)]
+    assert read("currencies", '{"status": "ok", "data": ["a", "b"]}', '{"status": "ok", "data": []}') == [(0, "a"), (0, "b")]
+    assert read("timestamp", '{"status": "ok", "data": 1700000000000}') == [(0, 1700000000000)]
+    got = read("symbols", '{"status": "ok", "data": [{"base-currency": "b", "price-precision": 2, "symbol": "bq"}]}')
+    assert [(r["base-currency"], r["price-precision"], r["symbol"], r["state"]) for _, r in got] == [("b", 2, "bq", None)]
+    assert [r["marketStatus"] for _, r in read("market_status", '{"code": 200, "data": {"marketStatus": 1}}', '{"code": 500, "data": {"marketStatus": 2}}')] == [1]
+    got = read("trades", '{"status": "ok", "data": [{"id": 1, "ts": 2, "data": [{"price": 3.5, "direction": "buy"}]}]}')
+    assert [(r["id"], r["data"][0]["price"], r["data"][0]["direction"]) for _, r in got] == [(1, 3.5, "buy")]

@@ -12,7 +12,7 @@ from tidemark.plans.indicator_queries import TIE
 from tidemark.plans.registry import query
 from tidemark.plans.series_queries import CROSS
 from tidemark.runtime import table
-from tidemark.sources import alerts, signing
+from tidemark.sources import alerts, endpoints, signing
 from tidemark.sources import bars as B
 from tidemark.streaming import silence
 
@@ -117,3 +117,26 @@ def vwap_by_day(spark, sf_dir):
     """The mean price by volume from the beginning of each day."""
     rows = ind.daily_vwap(B.events_hourly(spark, sf_dir))
     return rows.select("instrument", "ts", F.round(F.col("vwap") + TIE, 4).alias("vwap"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'https://api.example.org/market/history/kline?period=1day' || CASE WHEN o_custkey % 2 = 0 THEN '&size=' || o_custkey ELSE '' END || '&symbol=' || o_orderstatus || '%2F' || o_custkey END AS candles,
+'https://api.example.org/v2/reference/currencies' || CASE WHEN o_orderstatus <> 'P' THEN '?currency=' || o_orderstatus ELSE '' END AS chains, 'https://api.example.org/market/tickers' AS tickers FROM orders""")
+def request_urls(spark, sf_dir):
+    """Addresses of requests for public data."""
+    base, status, even = "https://api.example.org/", F.col("o_orderstatus"), F.col("o_custkey") % 2 == 0
+    known = F.when(status != "P", status)
+    symbol = F.concat(known, F.lit("/"), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", endpoints.request_url("candles", base, symbol=symbol, period=F.lit("1day"), size=F.when(even, F.col("o_custkey"))).alias("candles"),
+        endpoints.request_url("chains", base, currency=known).alias("chains"), endpoints.request_url("tickers", base).alias("tickers"),
+    )
+
+
+@query("""SELECT o_custkey, 's' || o_orderkey AS symbol, o_totalprice AS close, CAST(o_orderkey AS BIGINT) AS n_trades FROM orders WHERE o_custkey % 5 <> 0""")
+def ticker_records(spark, sf_dir):
+    """The tickers in an answer for each customer; every fifth answer is an error."""
+    ticker = F.struct(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("symbol"), F.col("o_totalprice").alias("close"), F.col("o_orderkey").alias("count"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(ticker).alias("data"))
+    status = F.when(F.col("o_custkey") % 5 != 0, "ok").otherwise("error")
+    found = endpoints.records(lists.select("o_custkey", F.to_json(F.struct(status.alias("status"), "data")).alias("body")), "tickers")
+    return found.select("o_custkey", "record.symbol", "record.close", F.col("record.count").alias("n_trades"))
