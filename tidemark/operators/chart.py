@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rolling import KEY
@@ -39,5 +39,5 @@ def candle_shapes(bars: DataFrame) -> DataFrame:
 def in_range_or_all(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Points within the first and last bar of their series; all of them where none lies there."""
     rows = points.join(ranges, list(KEY)).withColumn("inside", F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
-    n = F.count_if("inside").over(Window.partitionBy(*KEY, "metric"))
-    return rows.withColumn("n", n).filter("inside or n = 0").select(*points.columns)
+    some, same = by_key(rows.filter("inside").select(*KEY, "metric").distinct().withColumn("some", F.lit(True)), *KEY, "metric")
+    return rows.join(some, same(rows), "left").filter("inside or some is null").select(*points.columns)
